@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, secrets, sharding
+from . import decontamination, licenses, mixing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op6_mixing": mixing.op6_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op1_licenses": licenses.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
     "op4_secrets": secrets.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_sharding": sharding.ORACLE,
