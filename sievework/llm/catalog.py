@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, secrets, sharding
+from . import decontamination, licenses, mixing, neardup, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
+    "op5_minhash": neardup.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -19,6 +20,7 @@ ORACLES = {
     "op1_licenses": licenses.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op4_secrets": secrets.ORACLE,
+    "op5_minhash": neardup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
