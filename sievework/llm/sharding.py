@@ -20,7 +20,7 @@ OUTPUTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 ROW_OVERHEAD = 16
 
 
-def _rank_in(bounds: list[str], key: Column) -> Column:
+def rank_in(bounds: list[str], key: Column) -> Column:
     """How many of the sorted bounds are not above key, looked up in two steps of about the square
     root of their number."""
     if not bounds:
@@ -68,7 +68,7 @@ def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id:
 
     # ranges_per_shard * n_shards bounds at most: a parameter, whatever the input holds
     first = sorted(r.bound for r in _splitters(narrow, [], F.lit(n_ranges), F.lit(ideal / samples_per_range)).select("bound").collect())
-    placed = narrow.withColumn("rng", _rank_in(first, F.col("key")))
+    placed = narrow.withColumn("rng", rank_in(first, F.col("key")))
     full = {r.rng: r.bytes for r in placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > 2 * ideal) & (F.col("n") > 1)).collect()}
     bounds = first
     if full:
@@ -76,7 +76,7 @@ def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id:
         cut = _splitters(placed.filter(F.col("rng").isin(list(full))), ["rng"], F.element_at(parts, F.col("rng")), F.lit(ideal / samples_per_range))
         bounds = sorted({*first, *(r.bound for r in cut.select("bound").collect())})
 
-    ranged = durable(rows.withColumn("rng", _rank_in(bounds, F.col("key"))), "shard-rows")
+    ranged = durable(rows.withColumn("rng", rank_in(bounds, F.col("key"))), "shard-rows")
     before = W.orderBy("rng").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     offsets = ranged.groupBy("rng").agg(F.sum("size").alias("b"), F.count("*").alias("n")).select(
         F.col("rng").alias("r"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
