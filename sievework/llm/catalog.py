@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, neardup, secrets, sharding, simhash
+from . import decontamination, licenses, mixing, neardup, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op5_minhash": neardup.op5_minhash,
