@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, neardup, secrets, sharding, simhash, toxicity
+from . import decontamination, licenses, lm, mixing, neardup, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": secrets.op4_secrets,
     "op5_minhash": neardup.op5_minhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_lm": lm.op7_lm,
     "op8_simhash": simhash.op8_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
