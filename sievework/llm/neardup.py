@@ -8,10 +8,10 @@ probability (1 - s**k)**m, 5e-5 for the default k = 2 and m = 12.
 
 Copies (equal sets) are one class with one representative. Only halves that two representatives
 share form keys. In each bucket the smallest id is linked with the others; links are confirmed on
-the full sets. Documents of one bucket that are still in different components afterwards are
-compared with each other, so no link between the buckets' members is lost, while a group of copies
-or near copies costs one comparison a member, not one a pair. Components come from alternating
-large-star and small-star steps.
+the full sets. Documents that then share a bucket with another component are compared too, where
+their rarest shingles meet (an exact prefix filter), so no link between the buckets' members is
+lost, while a group of copies or near copies costs one comparison a member, and documents that have
+only a common passage cost none. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PERCENT = 75
 HALVES, PER_HALF = 12, 2
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Slots of the table by which rare shingles are told from common ones.
+SLOTS = 1 << 20
 OUTPUTS = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
@@ -99,11 +101,15 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with one of the ids, which are broadcast if they are few."""
+    ids = durable(ids.distinct(), "near-ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are alike enough. texts: (id, text)."""
-    ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = durable(_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), shingle), "near-sets")
+    sets = durable(_sets(_of_ids(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), shingle), "near-sets")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +170,52 @@ def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, comp) -> pairs (a, b) of different components that may be alike enough.
+
+    In any order of all shingles, two sets that are alike enough share one among the first
+    n - ceil(n * percent / 100) + 1 of each. Here rare ones come first, by counts in a table of SLOTS
+    slots, so documents that share nothing but common passages do not meet."""
+    own = _of_ids(texts, rest.select("id"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, body, offsets in slices(batch.column(1)):
+                for s in _distinct_shingles(body, offsets, shingle):
+                    total[(s % np.uint64(SLOTS)).astype(np.int64)] += 1
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["slot", "n"])
+
+    # SLOTS rows at most
+    counts = own.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    sent = rest.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, body, offsets in slices(batch.column(1)):
+                sets = _distinct_shingles(body, offsets, shingle)
+                picked = []
+                for s in sets:
+                    rare = np.lexsort((s, sent.value[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                    picked.append(s[rare[: len(s) + (-percent * len(s) // 100) + 1]].view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([len(s) for s in sets], pa.int64()), pa.array(picked, pa.list_(pa.int64()))], ["id", "n", "first"])
+
+    each = own.mapInArrow(prefix, "id long, n long, first array<long>").join(rest, "id").select("id", "n", "comp", F.posexplode("first").alias("at", "s"))
+    each = durable(each, "near-prefixes")
+    shared = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    each = durable(each.join(shared, "s"), "near-prefixes")
+    x, y = (each.select("s", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "comp", "at")]) for name in "xy")
+    # what may still be shared from this place on must reach the least overlap
+    reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = (100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n"))
+    sized = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & enough
+    met = x.join(y, "s").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & sized)
+    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, per_half: int = PER_HALF) -> DataFrame:
     """One row a row of df: doc_id (long), n_shingles, component_id and kept.
 
@@ -176,26 +228,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     classes, buckets = _buckets(sigs, halves)
     star = buckets.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
-    # each document with its smallest pivot, which settles nearly all; then with its other pivots;
-    # then those of one bucket that are still apart with each other
-    links = confirmed(durable(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-pairs"), texts, shingle, percent)
+    # each document with its smallest pivot settles nearly all; then those that share a bucket with
+    # another component, by their rarest shingles
+    first = durable(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-pairs")
+    links = confirmed(first, texts, shingle, percent)
     found = components(links)
-    rest = durable(_labelled(buckets, found), "near-rest")
-    more = rest.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("comp").alias("of_b"))
-    more = more.join(found.select(F.col("node").alias("a"), "component"), "a", "left").filter("coalesce(component, a) <> of_b").select("a", "b").distinct()
-    more = durable(more.join(star.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, texts, shingle, percent))
-        found = components(links)
-    rest = durable(_labelled(buckets, found), "near-rest")
-    main = rest.filter("rep = pivot").select("key", F.col("comp").alias("main"))
-    apart = rest.join(main, "key")
-    left = apart.filter("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    right = apart.filter("rep <> pivot").select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inner"))
-    cross = durable(left.join(right, "key").filter("cx <> cy and (inner or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
-    if not cross.isEmpty():
-        links = links.union(confirmed(cross, texts, shingle, percent))
-        found = components(links)
+    rest = durable(_labelled(buckets, found).select(F.col("rep").alias("id"), "comp").distinct(), "near-rest")
+    pairs = durable(_prefix_pairs(rest, texts, shingle, percent).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    if not pairs.isEmpty():
+        found = components(links.union(confirmed(pairs, texts, shingle, percent)))
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
