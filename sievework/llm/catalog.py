@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, lm, mixing, neardup, secrets, sharding, simhash, toxicity
+from . import decontamination, licenses, lm, mixing, neardup, pii, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_lm": lm.op7_lm,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
