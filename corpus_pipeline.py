@@ -6,10 +6,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.llm.common import durable, table
+from sievework.llm.decontamination import find_contamination
+from sievework.llm.mixing import mixed_documents
+from sievework.llm.neardup import BROADCAST_IDS, near_duplicates
+from sievework.llm.sharding import assign_shards
+from sievework.llm.toxicity import learn, score_toxicity
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model, share = learn(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, share).filter("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates. Rows without an id stay."""
+    gone = durable(near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct(), "pipeline-copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no twentieth or more is benchmark text."""
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them as a whole; ones without words are never read."""
+    return mixed_documents(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and their place in it."""
+    return assign_shards(docs).select(*docs.columns, "size", "shard", "slot")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 #: Compression lengths and learned thresholds have no SQL form; tests hold run() to brute force.
 ORACLE_SQL = None
 
