@@ -26,7 +26,7 @@ from .common import carried, packed, table, unpacked
 from .textnum import slices
 
 #: The sample that is learned from: so many rows of a class, and so many bytes of text, at most.
-ROWS_PER_CLASS, SAMPLE_BYTES = 4000, 32 << 20
+ROWS_PER_CLASS, SAMPLE_BYTES = 1500, 16 << 20
 FOLDS = 5
 LEVEL = 6
 #: Stretches of so many bytes may enter the toxic dictionary, from words of so many at most.
@@ -93,27 +93,40 @@ class Scorer:
         return float(1 / (1 + np.exp(-self.features(text) @ self.model.weights)))
 
 
-def _stretches(words: set[bytes]) -> set[bytes]:
+def _stretches(words: set[bytes], n: int, pieces: set[bytes] | None) -> set[bytes]:
+    """Stretches of n bytes of the words and their borders, made of two of the pieces, if given."""
     out: set[bytes] = set()
     for w in words:
-        if len(w) <= WORD_BYTES:
+        if n - 2 <= len(w) <= WORD_BYTES:
             b = b" " + w + b" "
-            out.update(b[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(b) - n + 1))
+            if pieces is None:
+                out.update(b[i : i + n] for i in range(len(b) - n + 1))
+            else:
+                out.update(b[i : i + n] for i in range(len(b) - n + 1) if b[i : i + n - 1] in pieces and b[i + 1 : i + n] in pieces)
     return out
 
 
 def _toxic_content(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes:
     """Stretches by the bytes they save in toxic documents beyond what they would save in ordinary
     ones, none inside another or half made of pieces of others, the best last (where references to
-    them are shortest)."""
-    inside: Counter[bytes] = Counter()
-    for d in toxic:
-        inside.update(_stretches(d))
+    them are shortest). A stretch is in enough documents only if both its shorter pieces are, so
+    lengths are counted one after the other."""
     least = max(3, 0.02 * len(toxic))
-    inside = Counter({s: n for s, n in inside.items() if n >= least})
+    inside: dict[bytes, int] = {}
     outside: Counter[bytes] = Counter()
-    for d in ordinary:
-        outside.update(s for s in _stretches(d) if s in inside)
+    pieces = shorter = None
+    for n in range(SHORTEST, LONGEST + 1):
+        count: Counter[bytes] = Counter()
+        for d in toxic:
+            count.update(_stretches(d, n, pieces))
+        own = {s: k for s, k in count.items() if k >= least}
+        pieces = set(own)
+        for d in ordinary:
+            outside.update(_stretches(d, n, shorter) & pieces)
+        inside |= own
+        shorter = pieces
+        if not pieces:
+            break
     ratio = len(toxic) / max(len(ordinary), 1)
     value = {s: (n - 4 * max(outside[s], outside[s] * ratio)) for s, n in inside.items() if n > 8 * (outside[s] + 0.5) * ratio}
     chosen: list[bytes] = []
