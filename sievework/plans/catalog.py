@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tabular
+from . import imaging, tabular
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tabular.QUERIES}
-ORACLES: dict[str, str] = {**tabular.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tabular.QUERIES, **imaging.QUERIES}
+ORACLES: dict[str, str] = {**tabular.ORACLES, **imaging.ORACLES}
