@@ -8,10 +8,11 @@ probability (1 - s**k)**m, 5e-5 for the default k = 2 and m = 12.
 
 Copies (equal sets) are one class with one representative. Only halves that two representatives
 share form keys. In each bucket the smallest id is linked with the others; links are confirmed on
-the full sets. Documents that then share a bucket with another component are compared too, where
-their rarest shingles meet (an exact prefix filter), so no link between the buckets' members is
-lost, while a group of copies or near copies costs one comparison a member, and documents that have
-only a common passage cost none. Components come from alternating large-star and small-star steps.
+the full sets. Documents that then share a bucket with another component are compared too, within
+families whose rarest shingles meet (an exact prefix filter), block by block inside tasks, so no
+link between the buckets' members is lost, while a group of copies or near copies costs one
+comparison a member, and documents that have only a common passage cost none. Components come from
+alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -34,6 +36,8 @@ HALVES, PER_HALF = 12, 2
 BROADCAST_IDS = 500_000
 #: Slots of the table by which rare shingles are told from common ones.
 SLOTS = 1 << 20
+#: Documents in a block of a family.
+BLOCK = 256
 OUTPUTS = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
@@ -170,8 +174,8 @@ def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(id, comp) -> pairs (a, b) of different components that may be alike enough.
+def _families(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, comp) -> id, family: documents that a chain of rare shingles holds together.
 
     In any order of all shingles, two sets that are alike enough share one among the first
     n - ceil(n * percent / 100) + 1 of each. Here rare ones come first, by counts in a table of SLOTS
@@ -205,15 +209,70 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
     each = own.mapInArrow(prefix, "id long, n long, first array<long>").join(rest, "id").select("id", "n", "comp", F.posexplode("first").alias("at", "s"))
     each = durable(each, "near-prefixes")
-    shared = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-    each = durable(each.join(shared, "s"), "near-prefixes")
-    x, y = (each.select("s", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "comp", "at")]) for name in "xy")
-    # what may still be shared from this place on must reach the least overlap
-    reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    enough = (100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n"))
-    sized = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & enough
-    met = x.join(y, "s").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & sized)
-    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    shared = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("a")).filter("lo <> hi").select("s", "a")
+    found = components(each.join(shared, "s").select("a", F.col("id").alias("b")).distinct())
+    return found.select(F.col("node").alias("id"), F.col("component").alias("family"))
+
+
+def _linked(group: pa.Table, percent: int) -> pa.Table:
+    """Of two blocks of a family (id, comp, side, set), links that unite what is alike: each
+    document with the first one of its new component, unless that is old."""
+    sets = [_unpack(x.as_py()) for x in group["set"]]
+    ids, comp, side = (group[c].to_numpy() for c in ("id", "comp", "side"))
+    size = np.array([len(s) for s in sets])
+    line, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, place, n = np.unique(line, return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1  # places among shingles that several have
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    keep = n[place] > 1
+    column, row = shared[place[keep]], doc[keep]
+    for lo in range(0, int((n > 1).sum()), 4096):
+        part = (column >= lo) & (column < lo + 4096)
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[row[part], column[part] - lo] = 1
+        common += held @ held.T
+    both = size[:, None] + size[None, :] - common
+    alike = (100 * common.astype(np.int64) >= percent * both.astype(np.int64)) & (comp[:, None] != comp[None, :])
+    # pairs within a block are judged where both of its sides are that block
+    alike &= (side[:, None] != side[None, :]) | (side.min() == side.max())
+    label = np.unique(comp, return_inverse=True)[1]
+    first = np.full(label.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, label, np.arange(len(ids)))
+    own = first[label]  # the first document of each old component stands for all of it
+    x, y = np.nonzero(np.triu(alike | alike.T, 1))
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, own[x], low[own[y]])
+        np.minimum.at(new, own[y], low[own[x]])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    root = low[own]
+    moved = np.flatnonzero((root != own) & (own == np.arange(len(ids))))
+    return pa.table({"a": pa.array(ids[root[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
+
+
+def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, comp) -> links (a, b) between components, each confirmed on full sets.
+
+    A family is cut into blocks of about BLOCK documents, a large component's apart from the others';
+    every two blocks meet in one group, but those of one component do not. Only links leave it."""
+    member = durable(_families(rest, texts, shingle, percent).join(rest, "id"), "near-families")
+    sized = member.groupBy("family", "comp").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") >= BLOCK, F.col("comp")))
+    parts = sized.groupBy("family", F.coalesce("large", F.lit(-1).cast("long")).alias("part")).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    before = W.partitionBy("family").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = durable(parts.select("family", "part", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("begin"), F.sum("blocks").over(W.partitionBy("family")).alias("all")), "near-parts")
+    large = sized.filter("large is not null").select("family", "comp", F.col("large").alias("part"))
+    placed = member.join(large, ["family", "comp"], "left").withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))).join(parts, ["family", "part"])
+    placed = placed.withColumn("block", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda k: (F.col("part") == -1) | (k < F.col("begin")) | (k >= F.col("begin") + F.col("blocks")))
+    met = placed.select("family", "id", "comp", "block", F.explode(other).alias("k"))
+    met = met.select("family", "id", "comp", F.col("block").alias("side"), F.least("block", "k").alias("lo"), F.greatest("block", "k").alias("hi"))
+    sets = durable(_sets(_of_ids(texts, member.select("id")), shingle), "near-sets")
+    groups = met.join(sets, "id").select("family", "lo", "hi", "id", "comp", "side", "set").groupBy("family", "lo", "hi")
+    return durable(groups.applyInArrow(lambda g: _linked(g, percent), "a long, b long").distinct(), "near-links")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, per_half: int = PER_HALF) -> DataFrame:
@@ -228,15 +287,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     classes, buckets = _buckets(sigs, halves)
     star = buckets.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
-    # each document with its smallest pivot settles nearly all; then those that share a bucket with
-    # another component, by their rarest shingles
+    # each document with its smallest pivot; then those that share a bucket with another component,
+    # in families held together by their rarest shingles
     first = durable(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-pairs")
     links = confirmed(first, texts, shingle, percent)
     found = components(links)
     rest = durable(_labelled(buckets, found).select(F.col("rep").alias("id"), "comp").distinct(), "near-rest")
-    pairs = durable(_prefix_pairs(rest, texts, shingle, percent).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    if not pairs.isEmpty():
-        found = components(links.union(confirmed(pairs, texts, shingle, percent)))
+    if not rest.isEmpty():
+        found = components(links.union(_family_links(rest, texts, shingle, percent)))
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
