@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..kernels import masking, morphology, texture
 from ..schema import AUGMENT, BATCH, COVERAGE, ID, LABEL, TRANSFORMS, EmptyRegionError, Settings
-from ..sources.images import pixels
+from ..sources.images import parts, pixels
 
 
 def feature_names(settings: Settings) -> list[str]:
@@ -50,11 +50,11 @@ def feature_rows(photos: DataFrame, settings: Settings, transforms: tuple[str, .
             out = []
             for record in batch.to_dict("records"):
                 own = {c: record[c] for c in keys}
-                rows, error = photo_rows(pixels(record["image"]), settings, transforms)
-                out += [own | r for r in rows] or [own | {"error": error}]
+                rows, error = photo_rows(pixels(record), settings, transforms)
+                out += [own | r | {"error": None} for r in rows] or [own | {AUGMENT: None, "error": error}]
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    return photos.select(*keys, "image").mapInPandas(work, schema)
+    return photos.select(*keys, *parts()).mapInPandas(work, schema)
 
 
 def feature_table(photos: DataFrame, settings: Settings, transforms: tuple[str, ...] = TRANSFORMS) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +71,7 @@ def paper_table(photos: DataFrame, reference: float | None = None) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [{c: r[c] for c in (ID, BATCH, LABEL)} | masking.paper_features(image, reference) for r in batch.to_dict("records") if (image := pixels(r["image"])) is not None]
+            found = [{c: r[c] for c in (ID, BATCH, LABEL)} | masking.paper_features(image, reference) for r in batch.to_dict("records") if (image := pixels(r)) is not None]
             yield pd.DataFrame(found, columns=[f.name for f in schema])
 
-    return photos.select(ID, BATCH, LABEL, "image").mapInPandas(work, schema)
+    return photos.select(ID, BATCH, LABEL, *parts()).mapInPandas(work, schema)

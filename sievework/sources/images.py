@@ -29,12 +29,17 @@ def with_images(manifest: DataFrame, images: DataFrame, root: str) -> DataFrame:
     return manifest.withColumn("_at", plain(full)).join(images.select(plain(F.col("origin")).alias("_at"), "image"), "_at", "left").drop("_at")
 
 
-def pixels(row) -> np.ndarray | None:
-    """An (H, W, 3) RGB array from an image struct (BGR bytes); None if it could not be decoded."""
-    if row is None or row["height"] <= 0:
+def parts(image: str = "image") -> list:
+    """An image struct's fields as columns: what kernels take."""
+    return [F.col(f"{image}.{c}").alias(f"image_{c}") for c in ("height", "width", "nChannels", "data")]
+
+
+def pixels(record: dict) -> np.ndarray | None:
+    """An (H, W, 3) RGB array from a record with parts() (BGR bytes); None if it could not be decoded."""
+    if record["image_data"] is None or not record["image_height"] > 0:
         return None
-    n = row["nChannels"]
-    flat = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], n)
+    n = int(record["image_nChannels"])
+    flat = np.frombuffer(record["image_data"], np.uint8).reshape(int(record["image_height"]), int(record["image_width"]), n)
     return np.repeat(flat, 3, axis=2) if n == 1 else np.ascontiguousarray(flat[..., 2::-1])
 
 
@@ -80,8 +85,8 @@ def write_masks(photos: DataFrame, out: str, settings) -> DataFrame:
         os.makedirs(out, exist_ok=True)
         for batch in batches:
             rows = []
-            for key, row in zip(batch["id"], batch["image"], strict=True):
-                image = pixels(row)
+            for record in batch.to_dict("records"):
+                key, image = record["id"], pixels(record)
                 if image is None:
                     rows.append((key, None))
                     continue
@@ -92,4 +97,4 @@ def write_masks(photos: DataFrame, out: str, settings) -> DataFrame:
                 rows.append((key, float(found.mean())))
             yield pd.DataFrame(rows, columns=["id", "mask_fraction"])
 
-    return photos.select("id", "image").mapInPandas(work, "id string, mask_fraction double")
+    return photos.select("id", *parts()).mapInPandas(work, "id string, mask_fraction double")
