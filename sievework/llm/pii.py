@@ -1,6 +1,6 @@
 """Op 9, semi-Markov conditional random field: personal data.
 
-A text's islands, stretches around digits, at signs and plus signs, are cut into atoms. A segment is
+A text's islands, stretches around digits, at signs, plus signs and spelled dots, are cut into atoms. A segment is
 a run of up to MOST_ATOMS atoms with a label; its score is a weighted sum of features of the whole
 span (shape, digits, checksums, separators, the words beside it) and of its label, and a dynamic
 programme over boundaries and labels finds the best segmentation. The weights maximise the
@@ -33,7 +33,7 @@ BASE = {
 }
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DIGIT, _HINT = re.compile("[0-9]"), re.compile("[0-9@+]")
+_DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]|\b[Dd]ot\b")
 LABELS = ("other", *KINDS)
 MOST_ATOMS = 12
 #: Code points of context on either side of a hint, and of an island at most; a longer one is cut
@@ -267,7 +267,7 @@ def field_spans(field: Field, text: str, base: list[tuple[int, int, int]]) -> li
     found = []
     for begin, end in _islands(text):
         atoms = _ATOM.findall(text[begin:end])
-        if sum(x[0] in "0123456789" for x in atoms) < 2 and not any(x == "@" for x in atoms):
+        if sum(x[0] in "0123456789" for x in atoms) < 2 and not any(x in ("@", "dot", "Dot") for x in atoms):
             continue  # too little for any kind
         at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + begin
         for a, b, label in field.best(atoms):

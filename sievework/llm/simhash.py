@@ -31,7 +31,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of keys and text -> one row for each value of keys, with fp and n, how many rows had it.
     A text without words has fingerprint 0; a tied bit is 0."""
     word = texts.select(*keys, F.posexplode_outer(words("text")).alias("pos", "word"))
-    weight = F.coalesce(F.least(F.char_length("word"), F.lit(MOST_WEIGHT)), F.lit(0)).cast("long")
+    weight = F.when(F.col("word").isNull(), 0).otherwise(F.least(F.char_length("word"), F.lit(MOST_WEIGHT))).cast("long")
     word = word.select(*keys, (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("one"), F.coalesce(F.xxhash64("word"), F.lit(0)).alias("h"), weight.alias("w"))
     votes = word.groupBy(*keys).agg(
         F.sum("one").alias("n"), F.sum("w").alias("w"),
