@@ -26,7 +26,7 @@ from .common import carried, packed, table, unpacked
 from .textnum import slices
 
 #: The sample that is learned from: so many rows of a class, and so many bytes of text, at most.
-ROWS_PER_CLASS, SAMPLE_BYTES = 1500, 16 << 20
+ROWS_PER_CLASS, SAMPLE_BYTES = 1000, 8 << 20
 FOLDS = 5
 LEVEL = 6
 #: Stretches of so many bytes may enter the toxic dictionary, from words of so many at most.
@@ -79,8 +79,7 @@ class Scorer:
             self.known[word] = found
         return found
 
-    def features(self, text: bytes) -> np.ndarray:
-        windows = _windows(text)
+    def features(self, windows: list[bytes]) -> np.ndarray:
         best = np.zeros(STRONGEST)
         if windows:
             seen = np.bincount([self.cell(w) for w in windows], minlength=GAINS * LENGTHS)
@@ -90,7 +89,7 @@ class Scorer:
         return np.concatenate([[1.0], best, [np.log1p(len(windows))]])
 
     def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-self.features(text) @ self.model.weights)))
+        return float(1 / (1 + np.exp(-self.features(_windows(text)) @ self.model.weights)))
 
 
 def _stretches(words: set[bytes], n: int, pieces: set[bytes] | None) -> set[bytes]:
@@ -143,16 +142,18 @@ def _toxic_content(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes
 
 def train(rows: list[tuple[str, int]], totals: tuple[int, int]) -> Model | None:
     """From (text, label); totals: how many rows of either class there are, sampled or not."""
-    texts = [(t.encode(), y) for t, y in rows]
-    windows = [(_windows(t), y) for t, y in texts]
+    held: dict[bytes, bytes] = {}  # one object a word, however often it occurs
+    windows = [([held.setdefault(w, w) for w in _windows(t.encode())], y) for t, y in rows]
+    del held
     toxic, ordinary = ([set(w) for w, y in windows if y == label] for label in (1, 0))
     if not toxic or not ordinary:
         return None
     common = Counter(w for d in ordinary for w in d)
     content = _toxic_content(toxic, ordinary)
+    del toxic, ordinary
     frequent = b" ".join(reversed([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]]))
     model = Model(content, frequent[-max(len(content), 256) :], np.zeros(GAINS * LENGTHS), np.zeros(STRONGEST + 2))
-    scorer = Scorer(model)
+    scorer = Scorer(model, keep=50_000)
     count = np.zeros((2, GAINS * LENGTHS))
     for w, y in windows:
         if w:
@@ -160,8 +161,8 @@ def train(rows: list[tuple[str, int]], totals: tuple[int, int]) -> Model | None:
     smooth = np.array([[2.0], [0.5]])
     rate = (count + smooth) / (count.sum(axis=1, keepdims=True) + smooth * GAINS * LENGTHS)
     model.evidence = np.log(rate[1]) - np.log(rate[0])
-    x = np.array([scorer.features(t) for t, _ in texts])
-    y = np.array([label for _, label in texts], float)
+    x = np.array([scorer.features(w) for w, _ in windows])
+    y = np.array([label for _, label in windows], float)
     # rows stand for all of their class
     share = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
     share *= len(y) / share.sum()
