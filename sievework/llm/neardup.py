@@ -135,21 +135,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> node, component (the smallest node reachable), for nodes that have links.
 
-    Alternating large-star and small-star steps until the links no longer change; then every node
-    hangs directly on its component's smallest."""
+    Alternating large-star and small-star steps until all links are stars: every node then hangs on
+    its component's smallest, which hangs on none."""
     links = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    seen = None
-    while True:
+    while not _stars(links):
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         links = durable(small, "star")
-        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
-        seen = state
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).filter("ups > 1 or ups + downs > 1 and ups > 0").isEmpty()
 
 
 def _buckets(sigs: DataFrame, halves: int) -> tuple[DataFrame, DataFrame]:
