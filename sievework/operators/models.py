@@ -83,7 +83,7 @@ class Fitted:
 
     @property
     def classes(self) -> list[str]:
-        return list(next(s for s in self.pipeline.stages if hasattr(s, "labels")).labels)
+        return list(next(s for s in self.pipeline.stages if isinstance(s, IndexToString)).getLabels())
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with the predicted class; a missing column is an error."""

@@ -44,11 +44,14 @@ def pixels(record: dict) -> np.ndarray | None:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, error, and the decoded image where there is no error before or in decoding."""
+    """path, error, and the decoded image where there is no error before or in decoding.
+
+    Readers pass over files without bytes, so names come from the listing, which the driver has."""
     raw = spark.read.format("binaryFile").load(path)
-    first = upload_error(F.col("length"), F.substring("content", 1, 8))
+    first = upload_error(F.coalesce("length", F.lit(0)), F.substring("content", 1, 8))
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    judged = raw.select(plain(F.col("path")).alias("path"), first.alias("error"))
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "listed string").select(plain(F.col("listed")).alias("path"))
+    judged = listed.join(raw.withColumn("path", plain(F.col("path"))), "path", "left").select("path", first.alias("error"))
     decoded = read_images(spark, path).select(plain(F.col("origin")).alias("path"), "image")
     both = judged.join(decoded, "path", "left")
     broken = F.when(F.col("image").isNull() | (F.col("image.height") < 0), F.lit("The image is corrupted and could not be read."))
