@@ -28,8 +28,9 @@ def shuffled_rank(df: DataFrame, part: list[str], order: Column, ties: list[str]
     return ranked.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("_own") + F.col("_shift")).cast("long").alias(name))
 
 
-#: How far around a quantile its exact value is sought.
-BRACKET = 2e-4
+#: How far around a quantile its exact value is sought, in shares of the rows; and the number of rows
+#: from which that is many times the error of the approximate quantiles. Fewer rows are all ordered.
+BRACKET, ENOUGH = 1e-3, 20_000
 
 
 def quantiles(df: DataFrame, part: list[str], value: str, at: dict[str, float]) -> DataFrame:
@@ -42,7 +43,7 @@ def quantiles(df: DataFrame, part: list[str], value: str, at: dict[str, float])
     rough = rows.groupBy(*part).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), F.lit(20_000)).alias("_e"))
     # the ends of the range stand in for a bracket that touches them
     spec = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("pos"), (F.col("_min") if q <= 2 * BRACKET else F.least(F.col("_e")[2 * k], F.col("_e")[2 * k + 1])).alias("lo"), (F.col("_max") if q >= 1 - 2 * BRACKET else F.greatest(F.col("_e")[2 * k], F.col("_e")[2 * k + 1])).alias("hi"))
+        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("pos"), F.when((F.col("_n") < ENOUGH) | F.lit(q <= 2 * BRACKET), F.col("_min")).otherwise(F.col("_e")[2 * k]).alias("lo"), F.when((F.col("_n") < ENOUGH) | F.lit(q >= 1 - 2 * BRACKET), F.col("_max")).otherwise(F.col("_e")[2 * k + 1]).alias("hi"))
         for k, (name, q) in enumerate(at.items())]))
     wanted = rough.select(*part, spec.alias("_s")).select(*part, "_s.*")
     same = F.lit(True)
