@@ -29,7 +29,7 @@ from .textnum import Words, mix
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Text of a chunk, and of what a bucket counts, in bytes; one longer document is a chunk alone.
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 2 << 20
 _END, _START = mix(np.array([0x656E64, 0x7374617274], np.uint64))
 #: Cells of the held-out counts: octaves of the context's count by eighths of an octave of both shares.
 CONTEXTS, SHARES, STEP = 40, 320, 8

@@ -65,7 +65,12 @@ class Words:
         after = np.concatenate([inside[1:], [False]]) if len(body) else inside
         ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
         up, down = _POWERS.upto(len(body) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)])])
+        sums = np.zeros(len(body) + 1, np.uint64)
+        terms = body.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[: len(body)]
+        np.cumsum(terms, out=sums[1:])
+        del terms
         self.hashes = mix((sums[ends] - sums[starts]) * down[starts])
         self.first = np.searchsorted(starts, offsets)
         self.starts, self.ends, self.body = starts, ends, body
