@@ -26,8 +26,8 @@ def pair_counts(df: DataFrame, keys: list[str], pixels: str, side: int, distance
     for d in distances:
         for a in angles:
             dy, dx = (s * d for s in STEPS[a])
-            inner = f"transform(filter(sequence(0, {side * side - 1}), p -> p div {side} + {dy} between 0 and {side - 1} and p % {side} + {dx} between 0 and {side - 1}), p -> named_struct('d', {d}, 'a', {a}, 'i', {pixels}[p], 'j', {pixels}[p + {dy * side + dx}]))"
-            found.append(F.expr(inner))
+            inner = f"transform(filter(sequence(0, {side * side - 1}), p -> p div {side} + {dy} between 0 and {side - 1} and p % {side} + {dx} between 0 and {side - 1}), p -> named_struct('d', {d}, 'a', {a}, 'i', v[p], 'j', v[p + {dy * side + dx}]))"
+            found.append(_bound(pixels, inner))
     pairs = df.select(*keys, F.explode(F.concat(*found)).alias("q")).select(*keys, "q.*")
     if foreground:
         pairs = pairs.filter("i > 0 and j > 0")
@@ -65,12 +65,23 @@ def otsu_mask(df: DataFrame, keys: list[str], pixels: str, side: int) -> DataFra
     threshold = otsu_threshold(pixel_rows(df, keys, pixels, side), keys)
     joined = df.select(*keys, pixels).join(threshold, keys)
     center = (side // 2) * side + side // 2
-    return joined.select(*keys, F.transform(pixels, lambda g: ((g > F.col("threshold")) == (F.get(pixels, F.lit(center)) > F.col("threshold"))).cast("int")).alias("mask"))
+    return joined.select(*keys, _bound(pixels, f"transform(v, g -> cast((g > threshold) = (v[{center}] > threshold) as int))").alias("mask"))
+
+
+def _bound(column: str, body: str) -> Column:
+    """body over v, which stands for the column: computed once, where a name inside a lambda would be
+    replaced by its whole expression and computed for every element."""
+    return F.expr(f"element_at(transform(array({column}), v -> {body}), 1)")
+
+
+def _window(best: str, side: int, reach: int) -> str:
+    near = f"filter(sequence(0, {side * side - 1}), q -> abs(q div {side} - p div {side}) <= {reach} and abs(q % {side} - p % {side}) <= {reach})"
+    return f"transform(sequence(0, {side * side - 1}), p -> {best}(transform({near}, q -> v[q])))"
 
 
 def eroded(mask: str, side: int, reach: int = 1) -> Column:
     """A pixel stays where all pixels within reach, of those the image has, are set."""
-    return F.expr(f"transform(sequence(0, {side * side - 1}), p -> array_min(transform(filter(sequence(0, {side * side - 1}), q -> abs(q div {side} - p div {side}) <= {reach} and abs(q % {side} - p % {side}) <= {reach}), q -> {mask}[q])))")
+    return _bound(mask, _window("array_min", side, reach))
 
 
 def transformed(pixels: str, side: int, name: str) -> Column:
@@ -84,12 +95,12 @@ def transformed(pixels: str, side: int, name: str) -> Column:
     y, x = map(fill, source)
     if name.startswith("flip"):
         x = f"({last} - {x})"
-    return F.expr(f"transform(sequence(0, {side * side - 1}), p -> {pixels}[cast({y} * {side} + {x} as int)])")
+    return _bound(pixels, f"transform(sequence(0, {side * side - 1}), p -> v[cast({y} * {side} + {x} as int)])")
 
 
 def resized(pixels: str, side: int, to: int) -> Column:
     """Nearest neighbour: the source of a place is the floor of its scaled place."""
-    return F.expr(f"transform(sequence(0, {to * to - 1}), p -> {pixels}[cast((p div {to}) * {side} div {to} * {side} + (p % {to}) * {side} div {to} as int)])")
+    return _bound(pixels, f"transform(sequence(0, {to * to - 1}), p -> v[cast((p div {to}) * {side} div {to} * {side} + (p % {to}) * {side} div {to} as int)])")
 
 
 def cropped(pixels: DataFrame, keys: list[str], object_: Column) -> DataFrame:
@@ -110,3 +121,16 @@ def surface_sums(pixels: DataFrame, keys: list[str], side: int, band: int, value
     m = [F.sum(terms[i] * terms[j]).cast("long") for i in range(6) for j in range(i, 6)]
     v = [F.sum(t * F.col(value)).cast("long") for t in terms]
     return pixels.filter(in_band(side, band)).groupBy(*keys).agg(F.array(*m).alias("m"), F.array(*v).alias("v"))
+
+
+def dilated(mask: str, side: int, reach: int = 1) -> Column:
+    """A pixel is set where any pixel within reach is."""
+    return _bound(mask, _window("array_max", side, reach))
+
+
+def blur_sums(pixels: str, side: int) -> Column:
+    """256 times a Gaussian blur of five by five pixels, mirrored at the frame."""
+    last = side - 1
+    fold = lambda at: f"({last} - abs({last} - abs({at})))"
+    terms = " + ".join(f"{a * b} * v[cast({fold(f'p div {side} + {dy}')} * {side} + {fold(f'p % {side} + {dx}')} as int)]" for dy, a in zip(range(-2, 3), (1, 4, 6, 4, 1), strict=True) for dx, b in zip(range(-2, 3), (1, 4, 6, 4, 1), strict=True))
+    return _bound(pixels, f"transform(sequence(0, {side * side - 1}), p -> {terms})")

@@ -187,3 +187,81 @@ _TERMS = ("1", "x", "y", "x * x", "x * y", "y * y")
 def border_surface_fit(spark, d):
     sums = pixels.surface_sums(pixels.pixel_rows(images(spark, d), ["img"], "px", SIDE), ["img"], SIDE, BAND)
     return sums.select("img", F.array_join("m", ",").alias("m"), F.array_join("v", ",").alias("v"))
+
+
+def _swept(f: str) -> str:
+    return f"SELECT a.img, a.y, a.x, {f}(b.mask) AS mask FROM m a JOIN m b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL"
+
+
+@query("dilate_mask", MASK + f", e AS ({_swept('max')}) SELECT img, string_agg(mask::VARCHAR, '' ORDER BY y, x) AS mask FROM e GROUP BY 1")
+def dilate_mask(spark, d):
+    return pixels.otsu_mask(images(spark, d), ["img"], "px", SIDE).select("img", F.array_join(pixels.dilated("mask", SIDE), "").alias("mask"))
+
+
+@query("open_mask", MASK + f", e AS ({_swept('min')}), o AS ({_swept('max').replace('FROM m a JOIN m b', 'FROM e a JOIN e b')}) SELECT img, string_agg(mask::VARCHAR, '' ORDER BY y, x) AS mask FROM o GROUP BY 1")
+def open_mask(spark, d):
+    """Erosion, then dilation: what a piece smaller than the window does not survive."""
+    less = pixels.otsu_mask(images(spark, d), ["img"], "px", SIDE).select("img", pixels.eroded("mask", SIDE).alias("mask"))
+    return less.select("img", F.array_join(pixels.dilated("mask", SIDE), "").alias("mask"))
+
+
+@query("area_downscale", f"WITH {_px()}, s AS (SELECT img, y // 2 AS yy, x // 2 AS xx, sum(g)::BIGINT AS s FROM px GROUP BY ALL) SELECT img, string_agg(s::VARCHAR, ',' ORDER BY yy, xx) AS sums FROM s GROUP BY 1")
+def area_downscale(spark, d):
+    """Sums over two by two pixels: four times the area average, in whole numbers."""
+    at = lambda k: f"px[(q div 4) * 16 + (q % 4) * 2 + {k}]"
+    return images(spark, d).select("img", F.expr(f"array_join(transform(sequence(0, 15), q -> {' + '.join(map(at, (0, 1, 8, 9)))}), ',')").alias("sums"))
+
+
+BLUR = "SELECT p.img, p.y, p.x, sum(r.g * wy.w * wx.w)::BIGINT AS s FROM px p, (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) wy(o, w), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) wx(o, w), px r WHERE r.img = p.img AND r.y = 7 - abs(7 - abs(p.y + wy.o)) AND r.x = 7 - abs(7 - abs(p.x + wx.o)) GROUP BY ALL"
+
+
+@query("gaussian_blur", f"WITH {_px()}, b AS ({BLUR}) SELECT img, string_agg(s::VARCHAR, ',' ORDER BY y, x) AS sums FROM b GROUP BY 1")
+def gaussian_blur(spark, d):
+    """256 times the five by five blur, mirrored at the frame, in whole numbers."""
+    return images(spark, d).select("img", F.array_join(pixels.blur_sums("px", SIDE), ",").alias("sums"))
+
+
+LARGEST = MASK.replace("WITH", "WITH RECURSIVE", 1) + """, r(img, p, label) AS (
+  SELECT img, y * 8 + x, y * 8 + x FROM m WHERE mask = 1 UNION
+  SELECT b.img, b.y * 8 + b.x, r.label FROM r JOIN m b ON b.img = r.img AND b.mask = 1 AND abs(b.y - r.p // 8) <= 1 AND abs(b.x - r.p % 8) <= 1),
+l AS (SELECT img, p, min(label) AS label FROM r GROUP BY ALL)
+SELECT img, label::INT AS first_pixel, n::INT AS size FROM (SELECT img, label, count(*) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY img ORDER BY n DESC, label) = 1"""
+
+
+@query("largest_component", LARGEST)
+def largest_component(spark, d):
+    """The mask's largest piece, by the kernel that photos go through."""
+    import numpy as np
+    import pandas as pd
+
+    from ..kernels.morphology import largest
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for img, mask in zip(batch["img"], batch["mask"], strict=True):
+                found = np.flatnonzero(largest(np.asarray(mask).reshape(SIDE, SIDE) > 0))
+                if len(found):
+                    rows.append((img, int(found[0]), len(found)))
+            yield pd.DataFrame(rows, columns=["img", "first_pixel", "size"])
+
+    return pixels.otsu_mask(images(spark, d), ["img"], "px", SIDE).mapInPandas(work, "img long, first_pixel int, size int")
+
+
+@query("glcm_kernel", f"SELECT img, d, a, round(contrast, 9) AS contrast, round(homogeneity, 9) AS homogeneity, round(energy, 9) AS energy, entropy FROM ({_glcm_sql(8)})")
+def glcm_kernel(spark, d):
+    """Texture by the kernel that photos go through, of the same pixels as the relational form."""
+    import numpy as np
+    import pandas as pd
+
+    from ..kernels.texture import glcm_features
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for img, px in zip(batch["img"], batch["px"], strict=True):
+                f = glcm_features(np.asarray(px, np.uint8).reshape(SIDE, SIDE), levels=8)
+                rows += [(img, k, a, *(round(f[f"glcm_d{k}_a{a}_{s}"], 6 if s == "entropy" else 9) for s in ("contrast", "homogeneity", "energy", "entropy"))) for k in (1, 2, 3) for a in pixels.STEPS]
+            yield pd.DataFrame(rows, columns=["img", "d", "a", "contrast", "homogeneity", "energy", "entropy"])
+
+    return images(spark, d).mapInPandas(work, "img long, d int, a int, contrast double, homogeneity double, energy double, entropy double")

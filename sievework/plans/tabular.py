@@ -432,3 +432,31 @@ def seeded_ranks(spark, d):
     """The shuffled order that all seeded choices use, of classes that hold most rows."""
     ranked = shuffled_rank(table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], seeded(7, "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
     return ranked.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("rank") * F.col("l_linenumber")).alias("digest"))
+
+
+@query("pooled_and_fold_f1", PREDICTED + """, po AS (SELECT model, avg(f1) AS pooled FROM (SELECT model, class, 2.0::DOUBLE * sum(tp) / (sum(support) + sum(called)) AS f1 FROM cm GROUP BY ALL) GROUP BY 1)
+SELECT model, round(pooled, 9) AS pooled, round(avg(macro_f1), 9) AS mean_of_folds FROM sc JOIN po USING (model) GROUP BY model, pooled""")
+def pooled_and_fold_f1(spark, d):
+    """Macro F1 of all predictions together, and the mean of the folds': kept apart."""
+    y = predictions(spark, d)
+    pooled = metrics.macro_f1(y, ["model"]).select("model", F.round("macro_f1", 9).alias("pooled"))
+    means = metrics.score_summary(metrics.macro_f1(y, ["model", "fold"])).select("model", F.round("mean", 9).alias("mean_of_folds"))
+    return pooled.join(means, "model")
+
+
+@query("training_semi_join", PHOTOS + "SELECT id, augment FROM a WHERE id IN (SELECT id FROM pf WHERE fold <> 0)")
+def training_semi_join(spark, d):
+    """All transforms of the photos that fold 0 trains on."""
+    folded = folds.with_folds(augmented(spark, d), SETTINGS)
+    ids = folded.filter((F.col("augment") == ORIGINAL) & (F.col("fold") != 0)).select("id")
+    return augmented(spark, d).join(ids, "id", "left_semi").select("id", "augment")
+
+
+@query("class_feature_means", "SELECT label AS class, " + ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 9) AS m{i}" for i in (1, 2, 3)) + " FROM embeddings GROUP BY 1")
+def class_feature_means(spark, d):
+    return table(spark, d, "embeddings").groupBy(F.col("label").alias("class")).agg(*[F.round(F.avg(F.col("embedding")[i - 1].cast("double")), 9).alias(f"m{i}") for i in (1, 2, 3)])
+
+
+@query("leak_flag", PREDICTED + "SELECT model, avg((class = predicted)::INT::DOUBLE) > 0.25 AS leak FROM y GROUP BY 1")
+def leak_flag(spark, d):
+    return metrics.accuracy(predictions(spark, d), ["model"]).select("model", (F.col("accuracy") > SETTINGS.leak_accuracy).alias("leak"))
