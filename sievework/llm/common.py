@@ -62,6 +62,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most bytes and rows of a batch that goes to Python.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python a few megabytes of text at a time, in place of tens:
+    what a task holds then follows BATCH_BYTES and its longest text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def carried(df: DataFrame, outputs: list[str]) -> list[str]:
     """The input columns that an operator passes on: all that have no output's name, which the
     output replaces."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, durable, packed, table, unpacked
+from .common import carried, durable, packed, small_batches, table, unpacked
 from .common import words as words_of
 from .textnum import Words, slices
 
@@ -216,6 +216,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     without an id count as one and have no name in items_sha256. Repeated rows give repeated
     results; an empty benchmark leaves every document clean. Input columns named like an output are
     replaced."""
+    small_batches(df.sparkSession)
     keep = [c for c in carried(df, OUTPUTS) if columns is None or c in columns]
     rows = df.select(F.col(text).alias("_text"), packed(df, keep).alias("_row"), *[F.lit(None).cast(kind).alias(c) for c, kind in FOUND.items()])
     passes = 0

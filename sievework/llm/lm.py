@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, small_batches, table
 from .textnum import Words, mix
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -244,6 +244,7 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     has the end alone. Learns from rows whose crc32(id) mod 7 is not 2; among them, those with 3 give
     the held-out counts. A null id is learned from. Repeated rows count each time; without training
     rows every token gets the even share. Other columns of df are not read."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     chunks = durable(rows.mapInArrow(_chunks, CHUNK), "lm-chunks")
     size = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0

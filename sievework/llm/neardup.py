@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, small_batches, table
 from .textnum import Words, mix, runs, slices
 
 SHINGLE = 5
@@ -284,6 +284,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     is one shingle; one without words, or null, has none and is linked with nothing: its
     component is itself. A null id has no component and is not kept. Rows that share an id are one
     node; each of them gets that node's component. Other columns of df are not read."""
+    small_batches(df.sparkSession)
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = durable(signatures(texts, shingle, halves, per_half), "near-signatures")
     classes, buckets = _buckets(sigs, halves)

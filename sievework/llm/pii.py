@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .textnum import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -286,6 +286,7 @@ def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     A null or empty text has none; repeated rows give repeated results; other columns of df are not
     read."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(field or train_field())  # some hundred weights
     rows = df.select(F.col(text).alias("_text"), F.col(doc_id).alias("id"))
 

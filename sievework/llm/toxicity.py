@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, packed, table, unpacked
+from .common import carried, packed, small_batches, table, unpacked
 from .textnum import slices
 
 #: The sample that is learned from: so many rows of a class, and so many bytes of text, at most.
@@ -212,6 +212,7 @@ def score_toxicity(df: DataFrame, model: Model | None, share: float = 0.0, text:
     A null text scores like an empty one, which has no windows and gets what a text without evidence
     gets. Without a model every score is the share of class 1. Input columns named like an output are
     replaced; repeated rows give repeated results."""
+    small_batches(df.sparkSession)
     outputs = ["score", "predicted"]
     keep = [c for c in carried(df, outputs) if columns is None or c in columns]
     if model is None:
