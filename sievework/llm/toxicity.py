@@ -34,6 +34,8 @@ SHORTEST, LONGEST, WORD_BYTES = 5, 12, 40
 STRETCHES, COMMON_WORDS = 96, 400
 #: A document's strongest windows that count.
 STRONGEST = 4
+#: What a toxic document that is passed over weighs against an ordinary one that is rejected.
+MISS_COST = 2.0
 TAIL = bytes(range(128, 192))
 GAINS, LENGTHS = 12, 16
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -173,6 +175,7 @@ def train(rows: list[tuple[str, int]], totals: tuple[int, int]) -> Model | None:
         p = 1 / (1 + np.exp(-z @ b))
         b += np.linalg.solve((z * (share * p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (share * (y - p)) - ridge @ b)
     model.weights = b / scale
+    model.weights[0] += np.log(MISS_COST)  # so that 0.5 is where both mistakes cost the same
     return model
 
 
