@@ -198,8 +198,8 @@ def dilate_mask(spark, d):
     return pixels.otsu_mask(images(spark, d), ["img"], "px", SIDE).select("img", F.array_join(pixels.dilated("mask", SIDE), "").alias("mask"))
 
 
-@query("open_mask", MASK + f", e AS ({_swept('min')}), o AS ({_swept('max').replace('FROM m a JOIN m b', 'FROM e a JOIN e b')}) SELECT img, string_agg(mask::VARCHAR, '' ORDER BY y, x) AS mask FROM o GROUP BY 1")
-def open_mask(spark, d):
+@query("mask_opening", MASK + f", e AS ({_swept('min')}), o AS ({_swept('max').replace('FROM m a JOIN m b', 'FROM e a JOIN e b')}) SELECT img, string_agg(mask::VARCHAR, '' ORDER BY y, x) AS mask FROM o GROUP BY 1")
+def mask_opening(spark, d):
     """Erosion, then dilation: what a piece smaller than the window does not survive."""
     less = pixels.otsu_mask(images(spark, d), ["img"], "px", SIDE).select("img", pixels.eroded("mask", SIDE).alias("mask"))
     return less.select("img", F.array_join(pixels.dilated("mask", SIDE), "").alias("mask"))
