@@ -207,3 +207,18 @@ def test_mask_pictures(spark, photo_dir, tmp_path):
 def test_stream_of_events(spark, small):
     n = learning.QUERIES["stream_score"](spark, small).agg(F.sum("n")).first()[0]
     assert n == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_photos_as_a_stream(spark, photo_dir, tmp_path):
+    from sievework.streaming.score import score_stream
+
+    s = Settings(resize_to=(48, 48))
+    table, _ = features.feature_table(named(spark, photo_dir), s)
+    two = table.withColumn("class", F.when(F.col("id") == "p0", "A").otherwise("E"))
+    model = fit_model("random_forest", FOREST, two, features.feature_names(s), 1)
+    save_artifact(model, s, str(tmp_path / "model"))
+    for _ in range(2):  # the second run finds nothing new
+        score_stream(spark, photo_dir, load_artifact(spark, str(tmp_path / "model")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = {r.path.rpartition("/")[2]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["p0.png"].grade == "A" and got["p1.png"].grade == "E" and got["cat.gif"].error and got["broken.png"].error and len(got) == 5
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
