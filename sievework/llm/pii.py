@@ -36,9 +36,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]|\b[Dd]ot\b")
 LABELS = ("other", *KINDS)
 MOST_ATOMS = 12
-#: Code points of context on either side of a hint, and of an island at most; a longer one is cut
-#: where there is white space.
-MARGIN, ISLAND = 24, 400
+#: Code points of context on either side of a hint.
+MARGIN = 24
 
 
 def luhn(digits: str) -> bool:
@@ -92,10 +91,12 @@ FEATURES = (
     "paren", "grouped_3", "grouped_4", "one_atom", "only_digits", "has_letters", "cue_before", "other_cue", "edge_space", "long_run", "newline", "alnum_beside", "year_like", "decimal",
     "space_inside", "punctuation_first", "spaces_4", "spaces_more",
 )
+_ALL_CUES = frozenset(x for cues in _CUES.values() for x in cues)
+_CUE_BEFORE, _OTHER_CUE = FEATURES.index("cue_before"), FEATURES.index("other_cue")
 
 
-def _features(atoms: list[str], a: int, b: int, label: int) -> list[int]:
-    """Indices of the features that hold for atoms[a:b] with a label other than 'other'."""
+def _features(atoms: list[str], a: int, b: int) -> list[list[int]]:
+    """Indices of the features that hold for atoms[a:b], for each label but 'other'."""
     span = "".join(atoms[a:b])
     digits = [x for x in atoms[a:b] if x[0] in "0123456789"]
     n = sum(map(len, digits))
@@ -107,13 +108,17 @@ def _features(atoms: list[str], a: int, b: int, label: int) -> list[int]:
         "four_octets": len(octets) == 4 and all(x.isascii() and x.isdigit() and int(x[:4]) <= 255 for x in octets), "octets_bad": len(octets) == 4 and all(x.isascii() and x.isdigit() for x in octets) and any(int(x[:4]) > 255 for x in octets),
         "at_inside": "@" in span[1:-1], "spelled_at": any(x.lower() == "at" for x in atoms[a + 1 : b - 1]) and any(x.lower() == "dot" or x == "." for x in atoms[a + 1 : b - 1]), "dot_top": atoms[b - 1].lower() in _TOP,
         "plus_first": span[0] == "+", "paren": "(" in span and ")" in span, "grouped_3": len(digits) >= 3 and all(2 <= len(x) <= 4 for x in digits), "grouped_4": len(digits) >= 3 and all(len(x) == 4 for x in digits[:-1]),
-        "one_atom": b - a == 1, "only_digits": b - a == 1 and n > 0, "has_letters": letters, "cue_before": label > 0 and bool(before & set(_CUES[LABELS[label]])), "other_cue": any(before & set(c) for k, c in _CUES.items() if k != LABELS[label]),
+        "one_atom": b - a == 1, "only_digits": b - a == 1 and n > 0, "has_letters": letters,
         "edge_space": span[0].isspace() or span[-1].isspace() or span[-1] in ".,;:!?-/", "long_run": n > 19, "newline": "\n" in span,
         "alnum_beside": (a > 0 and atoms[a - 1][0].isalnum() and span[0].isalnum()) or (b < len(atoms) and atoms[b][0].isalnum() and span[-1].isalnum()) or (a > 0 and atoms[a - 1] in "._-@" and span[0].isalnum()),
         "space_inside": " " in span, "punctuation_first": not (span[0].isalnum() or span[0] in "+("), "spaces_4": span.count(" ") == 4, "spaces_more": span.count(" ") > 4,
         "year_like": n <= 4, "decimal": len(digits) == 2 and "." in span,
     }
-    return [k for k, name in enumerate(FEATURES) if on[name]]
+    same = [k for k, name in enumerate(FEATURES) if on.get(name)]
+    if before.isdisjoint(_ALL_CUES):
+        return [same] * len(KINDS)
+    cued = [not before.isdisjoint(_CUES[kind]) for kind in KINDS]
+    return [same + [_CUE_BEFORE] * cued[k] + [_OTHER_CUE] * any(cued[:k] + cued[k + 1 :]) for k in range(len(KINDS))]
 
 
 class Field:
@@ -122,10 +127,9 @@ class Field:
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
 
-    def candidates(self, atoms: list[str]) -> list[tuple[int, int, int, list[int]]]:
-        """(start, end, label, features) of all segments that could be an entity: bounded in atoms,
-        with a digit or an at sign, and no white space at either end."""
-        out = []
+    def candidates(self, atoms: list[str]) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(start, end, label, features) of all segments that could be an entity, by start: bounded
+        in atoms, with a digit or an at sign, and no white space at either end."""
         for a in range(len(atoms)):
             if atoms[a].isspace():
                 continue
@@ -137,24 +141,35 @@ class Field:
                     break
                 if x.isspace() or not (digits or at):
                     continue
-                out += [(a, b, label, _features(atoms, a, b, label)) for label in range(1, len(LABELS))]
-        return out
+                yield from ((a, b, label, on) for label, on in enumerate(_features(atoms, a, b), 1))
 
     def best(self, atoms: list[str]) -> list[tuple[int, int, int]]:
-        """The highest-scoring segmentation's entities: (start, end, label) in atoms."""
-        into: dict[int, list[tuple[int, int, float]]] = {}
+        """The highest-scoring segmentation's entities: (start, end, label) in atoms.
+
+        Candidates come by start, and all that end at a start came before it, so none is held:
+        memory and time follow the number of atoms, and an island needs no cut."""
+        weights = self.weights.tolist()
+        top = [0.0] * (len(atoms) + 1)
+        back: dict[int, tuple[int, int]] = {}  # ends of segments that may be in the best segmentation
+        done = 0
         for a, b, label, on in self.candidates(atoms):
-            if (score := float(self.weights[label - 1, on].sum())) > 0:
-                into.setdefault(b, []).append((a, label, score))
-        top, back = [0.0] * (len(atoms) + 1), [(i - 1, 0) for i in range(len(atoms) + 1)]
-        for b in range(1, len(atoms) + 1):
-            top[b] = top[b - 1]
-            for a, label, score in into.get(b, ()):
-                if top[a] + score > top[b]:
-                    top[b], back[b] = top[a] + score, (a, label)
+            own = weights[label - 1]
+            if (score := sum([own[k] for k in on])) <= 0:
+                continue
+            for i in range(done + 1, a + 1):
+                if top[i] <= top[i - 1]:
+                    top[i] = top[i - 1]
+                    back.pop(i, None)
+            done = max(done, a)
+            if top[a] + score > top[b]:
+                top[b], back[b] = top[a] + score, (a, label)
+        for i in range(done + 1, len(atoms) + 1):
+            if top[i] <= top[i - 1]:
+                top[i] = top[i - 1]
+                back.pop(i, None)
         out, b = [], len(atoms)
         while b > 0:
-            a, label = back[b]
+            a, label = back.get(b, (b - 1, 0))
             if label:
                 out.append((a, b, label))
             b = a
@@ -234,7 +249,7 @@ def train_field(n: int = 300, rounds: int = 8, seed: int = 9) -> Field:
     """Stochastic gradient ascent with a small ridge on generated islands; the same every time."""
     rng = random.Random(seed)
     field = Field(np.zeros((len(KINDS), len(FEATURES))))
-    examples = [(len(atoms), field.candidates(atoms), gold) for atoms, gold in _examples(rng, n)]
+    examples = [(len(atoms), list(field.candidates(atoms)), gold) for atoms, gold in _examples(rng, n)]
     squares = np.full_like(field.weights, 1e-3)
     for _ in range(rounds):
         rng.shuffle(examples)
@@ -247,16 +262,16 @@ def train_field(n: int = 300, rounds: int = 8, seed: int = 9) -> Field:
 
 
 def _islands(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of stretches with hints, margins included, cut at white space where too long."""
+    """(start, end) of stretches with hints, margins included; ones that touch are one, however long."""
     begin = end = -1
     for m in _HINT.finditer(text):
         lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if begin >= 0 and lo <= end and (hi - begin <= ISLAND or not text[m.start() - 1].isspace()):
+        if begin >= 0 and lo <= end:
             end = hi
             continue
         if begin >= 0:
-            yield begin, min(end, lo) if lo > begin and hi - begin > ISLAND else end
-        begin, end = (max(lo, end) if lo < end else lo), hi
+            yield begin, end
+        begin, end = lo, hi
     if begin >= 0:
         yield begin, end
 

@@ -241,6 +241,16 @@ def test_field_finds_what_it_was_not_shown():
     assert found == {("phone", "(555) 010-2222"), ("email", "jo at host dot com")}
 
 
+def test_long_lists_lose_no_number():
+    text, want = "", []
+    for i in range(340):
+        own = f"(555) 010-{i:04d}" if i % 2 else f"555-010-{i:04d}"
+        want.append((pii.KINDS.index("phone"), len(text), len(text) + len(own)))
+        text += own + "; "
+    assert len(text) > 5000 and list(pii._islands(text)) == [(0, len(text))]
+    assert pii.field_spans(pii.train_field(), text, pii.base_spans(text)) == want
+
+
 def test_field_likelihood_is_that_of_all_segmentations():
     rng = np.random.default_rng(6)
     field = pii.Field(rng.normal(0, 0.5, (len(pii.KINDS), len(pii.FEATURES))))
