@@ -33,9 +33,10 @@ BASE = {
 }
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]|\b[Dd]ot\b")
+_DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]|\b(?:dot\b|at\b[\])]?\s?[a-z0-9-]+\.[a-z])", re.IGNORECASE)
 LABELS = ("other", *KINDS)
-MOST_ATOMS = 12
+#: "first.last [at] host [dot] co [dot] uk" has 21; two more spelled dots still fit.
+MOST_ATOMS = 32
 #: Code points of context on either side of a hint.
 MARGIN = 24
 
@@ -84,12 +85,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _ATOM = re.compile(r"[A-Za-z\x80-\U0010FFFF]+|[0-9]+|[^A-Za-z0-9\x80-\U0010FFFF]")
+#: A whole address with its at sign spelled.
+_SPELLED = re.compile(r"[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: at | ?[\[(] ?at ?[\])] ?)[a-z0-9-]+(?:(?:\.| dot | ?[\[(] ?dot ?[\])] ?)[a-z0-9-]+)+", re.IGNORECASE)
 _CUES = {"email": ("email", "mail", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 _TOP = frozenset("com org net edu de fr es io info example".split())
 FEATURES = (
     "bias", "luhn", "digits_13_19", "digits_9_15", "digits_7_8", "four_octets", "octets_bad", "at_inside", "spelled_at", "dot_top", "plus_first",
     "paren", "grouped_3", "grouped_4", "one_atom", "only_digits", "has_letters", "cue_before", "other_cue", "edge_space", "long_run", "newline", "alnum_beside", "year_like", "decimal",
-    "space_inside", "punctuation_first", "spaces_4", "spaces_more",
+    "space_inside", "punctuation_first", "spaces_4", "spaces_more", "spelled_form",
 )
 _ALL_CUES = frozenset(x for cues in _CUES.values() for x in cues)
 _CUE_BEFORE, _OTHER_CUE = FEATURES.index("cue_before"), FEATURES.index("other_cue")
@@ -114,6 +117,7 @@ def _features(atoms: list[str], a: int, b: int) -> list[list[int]]:
         "space_inside": " " in span, "punctuation_first": not (span[0].isalnum() or span[0] in "+("), "spaces_4": span.count(" ") == 4, "spaces_more": span.count(" ") > 4,
         "year_like": n <= 4, "decimal": len(digits) == 2 and "." in span,
     }
+    on["spelled_form"] = on["spelled_at"] and (on["dot_top"] or "[" in span or "(" in span) and _SPELLED.fullmatch(span) is not None
     same = [k for k, name in enumerate(FEATURES) if on.get(name)]
     if before.isdisjoint(_ALL_CUES):
         return [same] * len(KINDS)
@@ -213,12 +217,12 @@ def _examples(rng: random.Random, n: int) -> Iterator[tuple[list[str], set[tuple
 
     def email() -> str:
         name, host, top = word().replace("é", "e"), word().replace("é", "e"), rng.choice(("com", "org", "net", "de"))
-        return rng.choice((f"{name}.{digits(2)}@{host}.{top}", f"{name}@{host}.{top}", f"{name} at {host} dot {top}", f"{name} [at] {host} [dot] {top}"))
+        return rng.choice((f"{name}.{digits(2)}@{host}.{top}", f"{name}@{host}.{top}", f"{name} at {host} dot {top}", f"{name} [at] {host} [dot] {top}", f"{name}.{word().replace('é', 'e')} [at] {host} [dot] co [dot] uk", f"{name} at {host}.{top}"))
 
     make = {"email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
     other = (
         lambda: digits(rng.randint(1, 5)), lambda: str(rng.randint(1900, 2035)), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: digits(rng.choice((6, 8, 9, 10, 11, 12, 20, 24))),
-        lambda: f"{word()} at {word()}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+        lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()}.{word()}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(3)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
         lambda: f"{digits(1)}+{digits(1)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: "".join(d for d in digits(16) if d) if rng.random() < 0.5 else f"#{digits(7)}",
     )
     for _ in range(n):
@@ -232,8 +236,9 @@ def _examples(rng: random.Random, n: int) -> Iterator[tuple[list[str], set[tuple
                 if rng.random() < 0.25:
                     atoms += [rng.choice(_CUES[kind]), *rng.choice(([" "], [":", " "]))]
                 own = _ATOM.findall(make[kind]())
-                if len(own) <= MOST_ATOMS:
-                    gold.add((len(atoms), len(atoms) + len(own), LABELS.index(kind)))
+                if len(own) > MOST_ATOMS:
+                    raise ValueError(f"no segment holds {''.join(own)!r}: {len(own)} atoms")
+                gold.add((len(atoms), len(atoms) + len(own), LABELS.index(kind)))
                 atoms += own
             else:
                 own = _ATOM.findall(rng.choice(other)())
@@ -262,10 +267,17 @@ def train_field(n: int = 300, rounds: int = 8, seed: int = 9) -> Field:
 
 
 def _islands(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of stretches with hints, margins included; ones that touch are one, however long."""
+    """(start, end) of stretches with hints, margins included; ones that touch are one, however long, and
+    words at either end are whole."""
     begin = end = -1
     for m in _HINT.finditer(text):
         lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        while lo > max(end, 0) and not text[lo - 1].isspace():  # no word is cut
+            lo -= 1
+        if hi <= end:
+            continue
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
         if begin >= 0 and lo <= end:
             end = hi
             continue
@@ -282,7 +294,8 @@ def field_spans(field: Field, text: str, base: list[tuple[int, int, int]]) -> li
     found = []
     for begin, end in _islands(text):
         atoms = _ATOM.findall(text[begin:end])
-        if sum(x[0] in "0123456789" for x in atoms) < 2 and not any(x in ("@", "dot", "Dot") for x in atoms):
+        said = {x.lower() for x in atoms}
+        if sum(x[0] in "0123456789" for x in atoms) < 2 and said.isdisjoint(("@", "dot")) and not {"at", "."} <= said:
             continue  # too little for any kind
         at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + begin
         for a, b, label in field.best(atoms):

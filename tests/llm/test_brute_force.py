@@ -1,6 +1,7 @@
 """Operators against plain versions of themselves on small tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -241,6 +242,9 @@ def test_field_finds_what_it_was_not_shown():
     assert found == {("phone", "(555) 010-2222"), ("email", "jo at host dot com")}
 
 
+FIELD = functools.cache(pii.train_field)
+
+
 def test_long_lists_lose_no_number():
     text, want = "", []
     for i in range(340):
@@ -251,6 +255,12 @@ def test_long_lists_lose_no_number():
     assert pii.field_spans(pii.train_field(), text, pii.base_spans(text)) == want
 
 
+@pytest.mark.parametrize("own", ["jo [at] host [dot] com", "ann.lee [at] theon [dot] co [dot] uk", "jo at host DOT com", "JO AT HOST DOT COM", "jo at host.com"])
+def test_spelled_addresses_fit_a_segment(own):
+    text = f"please write {own} now"
+    assert pii.field_spans(FIELD(), text, pii.base_spans(text)) == [(0, 13, 13 + len(own))]
+
+
 def test_field_likelihood_is_that_of_all_segmentations():
     rng = np.random.default_rng(6)
     field = pii.Field(rng.normal(0, 0.5, (len(pii.KINDS), len(pii.FEATURES))))
