@@ -79,7 +79,7 @@ def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
     binned = lambda df, lo, hi: df.select("id", "digest", "p", role[F.col("p.kind")].alias("role"), F.explode(F.sequence(F.floor(lo / SCOPE), F.floor(hi / SCOPE))).alias("bin"))
     left = binned(part("weak"), F.col("p.start") - SCOPE, F.col("p.end") + SCOPE).alias("l")
-    right = binned(part(F.concat("parts", "weak")), F.col("p.start"), F.col("p.start")).alias("r")
+    right = binned(part(F.concat("parts", "weak")), F.col("p.start"), F.col("p.end")).alias("r")
     near = (F.col("r.p.start") <= F.col("l.p.end") + SCOPE) & (F.col("r.p.end") >= F.col("l.p.start") - SCOPE)
     apart = (F.col("r.p.start") >= F.col("l.p.end")) | (F.col("r.p.end") <= F.col("l.p.start"))
     met = left.join(right, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.digest") == F.col("r.digest")) & (F.col("l.bin") == F.col("r.bin")) & near & apart & (F.col("l.role") != F.col("r.role")))

@@ -329,3 +329,10 @@ def test_secrets_link_parts(spark):
     got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
     assert got[1].n_access == 1 and [x.kind for x in got[1].linked] == ["random"] and got[2].spans == ""
     assert (got[3].n_assign, got[3].n_hex) == (1, 1) and {x.kind for x in got[4].linked} == {"client", "endpoint"}
+
+
+def test_long_secrets_reach_what_follows(spark):
+    key = "Ab3x" * 250
+    df = spark.createDataFrame([(1, f"token={key} https://host.example/x"), (2, f"{key} AKIA{'A' * 16}"), (3, f"secret={key} {'- ' * 150}https://host.example/x")], "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.linked] for r in secrets.scan_secrets(df).collect()}
+    assert got == {1: ["endpoint"], 2: ["random"], 3: []}
