@@ -183,28 +183,49 @@ def fold(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
+def _fitting(sized: DataFrame, most: int) -> list:
+    """Of rows with id, bytes and h, the first ROWS_PER_CLASS in order of h that together keep to most
+    bytes, passing over those that do not fit. A sixteenth of the bytes may stay unused: filling them
+    with ever shorter texts would skew the sample."""
+    out, left, after = [], most, None
+    while len(out) < ROWS_PER_CLASS and 16 * left > most:
+        rest = sized.filter(F.col("bytes") <= left)
+        if after is not None:
+            rest = rest.filter((F.col("h") > after.h) | ((F.col("h") == after.h) & (F.col("id") > after.id)))
+        asked = ROWS_PER_CLASS - len(out)
+        found = rest.orderBy("h", "id").limit(asked).collect()
+        for r in found:
+            if r.bytes <= left:
+                out.append(r)
+                left -= r.bytes
+        if len(found) < asked:
+            break
+        after = found[-1]
+    return out
+
+
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[Model | None, float]:
     """A model, if both classes have labelled rows outside the held-out fold, and the share of class 1.
 
-    Learns from a sample bounded by ROWS_PER_CLASS and SAMPLE_BYTES, the first rows in the order of a
-    hash of their id. Null labels and ids are left out; an id with several labels has the largest."""
+    Learns from a sample bounded by ROWS_PER_CLASS and SAMPLE_BYTES, the first ids in the order of a
+    hash that fit; one that does not is passed over. Where none of a class fits, the beginning of its
+    shortest stands for it. Null labels and ids are left out; an id with several labels has the largest."""
     marked = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     rows = df.filter(fold(doc_id, FOLDS) != 0).select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     known = rows.select("id", F.octet_length("text").cast("long").alias("bytes")).join(marked, "id")
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked: dict[object, int] = {}
-    for y in (0, 1):
-        held = 0
-        for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(ROWS_PER_CLASS).collect():
-            if (held := held + r.bytes) > SAMPLE_BYTES // 2:
-                break
-            picked[r.id] = y
+    sized = known.groupBy("id", "y").agg(F.sum("bytes").alias("bytes"), F.xxhash64("id").alias("h"))
+    picked = {r.id: y for y in (0, 1) for r in _fitting(sized.filter(F.col("y") == y), SAMPLE_BYTES // 2)}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         return None, share
     ids = df.sparkSession.createDataFrame([(k, y) for k, y in picked.items()], "id long, y int")
+    lone = [y for y in (0, 1) if y not in picked.values()]
     sample = rows.join(F.broadcast(ids), "id").select("id", "text", "y").collect()  # bounded as said
+    for y in lone:
+        part = F.substring("text", 1, SAMPLE_BYTES // 8).alias("text")  # of four bytes a code point at most
+        sample += known.filter(F.col("y") == y).orderBy("bytes", F.xxhash64("id"), "id").limit(1).join(rows, "id").select("id", part, "y").orderBy("text").limit(1).collect()
     sample.sort(key=lambda r: (r.id, r.text))
     return train([(r.text, r.y) for r in sample], (n0, n1)), share
 

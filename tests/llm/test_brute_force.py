@@ -336,3 +336,17 @@ def test_long_secrets_reach_what_follows(spark):
     df = spark.createDataFrame([(1, f"token={key} https://host.example/x"), (2, f"{key} AKIA{'A' * 16}"), (3, f"secret={key} {'- ' * 150}https://host.example/x")], "doc_id long, text string")
     got = {r.doc_id: [x.kind for x in r.linked] for r in secrets.scan_secrets(df).collect()}
     assert got == {1: ["endpoint"], 2: ["random"], 3: []}
+
+
+def test_toxicity_passes_over_documents_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8000)
+    rows = [(i, "vile rotten words " * (1 if i % 4 else 400) if i % 2 else "calm plain words " * (1 if i % 4 else 400)) for i in range(1, 60)]
+    long = [(i, t * 400 if i % 3 == 0 and len(t) < 40 else t) for i, t in rows]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, totals: seen.append(sample))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in long], "doc_id long, toxic int")
+    toxicity.learn(spark.createDataFrame(long, "doc_id long, text string"), labels)
+    kept = {i for i, t in long if len(t) <= 4000 and zlib.crc32(str(i).encode()) % toxicity.FOLDS}
+    assert sorted(y for _, y in seen[0]) == sorted(i % 2 for i in kept)
+    toxicity.learn(spark.createDataFrame([(i, t * 400) for i, t in rows], "doc_id long, text string"), labels)
+    assert sorted(y for _, y in seen[1]) == [0, 1] and sum(len(t) for t, _ in seen[1]) <= 8000
