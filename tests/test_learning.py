@@ -222,3 +222,10 @@ def test_photos_as_a_stream(spark, photo_dir, tmp_path):
     got = {r.path.rpartition("/")[2]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["p0.png"].grade == "A" and got["p1.png"].grade == "E" and got["cat.gif"].error and got["broken.png"].error and len(got) == 5
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_boosted_trees_fit_and_predict_every_class(spark, small):
+    rows = learning.vector_table(spark, small, augmented=False)
+    want = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
+    got = {r["class"]: r.n for r in learning.boosted_trees(spark, small).groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and len(want) > 3
