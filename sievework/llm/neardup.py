@@ -38,6 +38,10 @@ BROADCAST_IDS = 500_000
 SLOTS = 1 << 20
 #: Documents in a block of a family.
 BLOCK = 256
+#: Partners of one pivot that share a task.
+PARTNERS = 512
+#: Tasks that rows of one key are dealt to where their partner is too large a table to broadcast.
+SALTS = 64
 OUTPUTS = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
@@ -87,22 +91,19 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, halves: int = HALVES, per_
 
 
 def _sets(df: DataFrame, shingle: int) -> DataFrame:
-    """(id, text) -> id, set: 48 bits of each distinct shingle's hash, in order."""
+    """(id, text) -> id, set: the hashes of the distinct shingles, in order."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, body, offsets in slices(batch.column(1)):
-                packed = [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in _distinct_shingles(body, offsets, shingle)]
+                packed = [s.tobytes() for s in _distinct_shingles(body, offsets, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(packed, pa.binary())], ["id", "set"])
 
     return df.mapInArrow(make, "id long, set binary")
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(blob, np.uint64)
 
 
 def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -114,7 +115,18 @@ def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are alike enough. texts: (id, text)."""
     sets = durable(_sets(_of_ids(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), shingle), "near-sets")
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    # a pivot with many partners takes them in parts of some PARTNERS, each with the pivot's set once
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    pivots = sets.join(parts, sets["id"] == parts["a"]).select("a", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "parts")
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    dealt = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    if most > 1:
+        many = durable(parts.filter("parts > 1"), "near-pivots")
+        many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+        dealt = dealt.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    else:
+        dealt = dealt.withColumn("part", F.lit(0).cast("long"))
+    rows = dealt.join(pivots.drop("parts"), ["a", "part"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -256,6 +268,15 @@ def _linked(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(ids[root[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
 
 
+def _spread(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Rows (with an id) joined with few, a written table of unlike keys: broadcast up to BROADCAST_IDS
+    rows; beyond that a key's rows are dealt to SALTS tasks, each with a copy of what they meet."""
+    if few.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(few), on, how)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
+
+
 def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(id, comp) -> links (a, b) between components, each confirmed on full sets.
 
@@ -266,8 +287,9 @@ def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
     parts = sized.groupBy("family", F.coalesce("large", F.lit(-1).cast("long")).alias("part")).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     before = W.partitionBy("family").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = durable(parts.select("family", "part", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("begin"), F.sum("blocks").over(W.partitionBy("family")).alias("all")), "near-parts")
-    large = sized.filter("large is not null").select("family", "comp", F.col("large").alias("part"))
-    placed = member.join(large, ["family", "comp"], "left").withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))).join(parts, ["family", "part"])
+    # rows of the few large components and families meet their numbers where they are, or dealt by id too
+    large = _spread(member, durable(sized.filter("large is not null").select("family", "comp", F.col("large").alias("part")), "near-large"), ["family", "comp"], "left")
+    placed = _spread(large.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))), parts, ["family", "part"], "inner")
     placed = placed.withColumn("block", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda k: (F.col("part") == -1) | (k < F.col("begin")) | (k >= F.col("begin") + F.col("blocks")))
     met = placed.select("family", "id", "comp", "block", F.explode(other).alias("k"))

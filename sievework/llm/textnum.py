@@ -34,21 +34,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash's base and of its inverse modulo 2**64, as far as they were needed."""
+    """Powers of a base and of its inverse modulo a prime, as far as they were needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, prime: int, base: int) -> None:
+        self.prime, self.base = prime, base
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 16)
-            inverse = np.uint64(pow(int(_R), -1, 1 << 64))
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _R))])
-            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, inverse))])
+        p = np.uint64(self.prime)
+        while n > len(self.up):
+            k = len(self.up)
+            ahead, back = (np.uint64(pow(b, k, self.prime)) for b in (self.base, pow(self.base, -1, self.prime)))
+            self.up, self.down = np.concatenate([self.up, self.up * ahead % p]), np.concatenate([self.down, self.down * back % p])
         return self.up, self.down
 
 
-_POWERS = _Powers()
+#: Two primes below 2**31 with a base each: a word's hash is its polynomial modulo both. Powers of two
+#: as moduli would let different words of a regular form, such as Thue and Morse's, hash alike.
+_POWERS = (_Powers(2147483647, 1103515245), _Powers(2147483629, 1664525013))
+#: So many bytes can be summed up before a sum of terms below 2**40 must be reduced.
+_SAFE = 1 << 23
+
+
+def _polynomials(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Each word's polynomial modulo the prime, whatever stands before the word."""
+    p = np.uint64(powers.prime)
+    up, down = powers.upto(len(body) + 1)
+    sums = np.zeros(len(body) + 1, np.uint64)
+    terms = body.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[: len(body)]
+    if len(body) > _SAFE:
+        terms %= p
+    np.cumsum(terms, out=sums[1:])
+    return (sums[ends] - sums[starts]) % p * down[starts] % p
 
 
 class Words:
@@ -64,14 +83,8 @@ class Words:
         starts = np.flatnonzero(inside & (~before | cut[:-1]))
         after = np.concatenate([inside[1:], [False]]) if len(body) else inside
         ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        up, down = _POWERS.upto(len(body) + 1)
-        sums = np.zeros(len(body) + 1, np.uint64)
-        terms = body.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= up[: len(body)]
-        np.cumsum(terms, out=sums[1:])
-        del terms
-        self.hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        low, high = (_polynomials(body, starts, ends, x) for x in _POWERS)
+        self.hashes = mix(mix(high << np.uint64(32) | low) + (ends - starts).astype(np.uint64))
         self.first = np.searchsorted(starts, offsets)
         self.starts, self.ends, self.body = starts, ends, body
 
