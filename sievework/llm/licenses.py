@@ -1,13 +1,14 @@
 """Op 1, positional rare-token index: licence scans.
 
-Templates are lists of phrases. A phrase is held as its content words with their places; the
-function words between them are gaps of fixed length. The postings of the templates are keyed by
-each phrase's anchor, the word with the highest inverse document frequency in the scanned corpus.
-A file's licence words are looked up there; an entry gives the relative places at which the other
-words must stand, and a phrase is found where all of them do. A template is reported when all its
-mandatory phrases are found at places that agree on where the template begins.
-
-Everything after the one pass over the texts runs on their licence words alone.
+Templates are lists of phrases. A phrase is held as its content words with their places and the
+function words that follow each, its gaps. The postings of the templates are keyed by each phrase's
+anchor, the word with the highest inverse document frequency in the scanned corpus. A file's licence
+words are looked up there; an entry gives the relative places at which the other words must stand
+and what fills the gaps, and a phrase is found where all of it does: word for word. A template is
+reported when all its mandatory phrases are found at places that agree on where it begins.
+
+Everything after the one pass over the texts runs on their licence words, each kept with its place
+and the few words after it. As gaps hold no licence word, places that agree are neighbours there.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, sql_text, table, words
 
-#: Gaps in phrases; never looked up.
+#: Gaps in phrases; never looked up, but verified.
 FUNCTION_WORDS = frozenset("a an and any as be by for from in is it of on or that the this to under with without".split())
 
 
@@ -61,10 +62,15 @@ SLACK = 8
 
 @dataclass(frozen=True)
 class Phrase:
+    """text: all its words; content: those that are looked up, with their places; gaps: for each of
+    those, the function words that follow it."""
+
     number: int
     template: int
     start: int
+    text: tuple[str, ...]
     content: tuple[tuple[int, str], ...]
+    gaps: tuple[tuple[str, ...], ...]
 
 
 def _phrases(templates: tuple[Template, ...]) -> list[Phrase]:
@@ -77,19 +83,22 @@ def _phrases(templates: tuple[Template, ...]) -> list[Phrase]:
             content = tuple((k, w) for k, w in enumerate(own) if w not in FUNCTION_WORDS)
             if len(content) < 2 or content[0][0]:
                 raise ValueError(f"a phrase begins with one of two or more content words: {text}")
-            found.append(Phrase(len(found), t, start, content))
+            ends = [*(k for k, _ in content[1:]), len(own)]
+            gaps = tuple(tuple(own[k + 1 : end]) for (k, _), end in zip(content, ends, strict=True))
+            found.append(Phrase(len(found), t, start, tuple(own), content, gaps))
     return found
 
 
 def _postings(phrases: list[Phrase], df: dict[str, int]) -> str:
-    """SQL for a map from anchors to entries: the phrase, how far before the anchor it starts, and
-    its other words by their distance in licence words and in words."""
+    """SQL for a map from anchors to entries: the phrase, how far before the anchor it starts, the gap
+    after the anchor, and its other words by their distance in licence words and in words."""
+    gap = lambda words: f"array({', '.join(map(sql_text, words))})" if words else "cast(array() as array<string>)"
     by_word: dict[str, list[str]] = {}
     for p in phrases:
         k = min(range(len(p.content)), key=lambda i: (df.get(p.content[i][1], 0), p.content[i][1]))
         at, anchor = p.content[k]
-        others = ", ".join(f"named_struct('d', {i - k}, 'dp', {o - at}, 'w', {sql_text(w)})" for i, (o, w) in enumerate(p.content) if i != k)
-        by_word.setdefault(anchor, []).append(f"named_struct('phrase', {p.number}, 'back', {at}, 'others', array({others}))")
+        others = ", ".join(f"named_struct('d', {i - k}, 'dp', {o - at}, 'w', {sql_text(w)}, 'gap', {gap(p.gaps[i])})" for i, (o, w) in enumerate(p.content) if i != k)
+        by_word.setdefault(anchor, []).append(f"named_struct('phrase', {p.number}, 'back', {at}, 'gap', {gap(p.gaps[k])}, 'others', array({others}))")
     return "map(" + ", ".join(f"{sql_text(w)}, array({', '.join(es)})" for w, es in by_word.items()) + ")"
 
 
@@ -114,18 +123,22 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
     and first word), n_base, first_word, last_word, base_labels, labels and score.
 
     The first templates are the base ones. A null or empty text has no words, no labels and score
-    0; repeated rows give repeated results; other columns of df are not read. score is the largest
+    0; a text of any length is read whole, as one row; repeated rows give repeated results, an empty
+    table an empty one; a phrase that several templates have counts for each; other columns of df are
+    not read, whatever their names. score is the largest
     over the templates: half the share of its phrases that is found, or, if the template is
     reported, a half and half the share of its notice that its phrases make up."""
     phrases = _phrases(templates)
     vocabulary = sorted({w for p in phrases for _, w in p.content})
-    held = F.transform("w", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("pos"), w.alias("word"))))
+    widest = max(len(g) for p in phrases for g in p.gaps)
+    held = F.transform("w", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("pos"), w.alias("word"), F.slice("w", i + 2, F.lit(widest)).alias("after"))))
     hits = durable(df.select(F.col(doc_id).alias("id"), words(text).alias("w")).select("id", F.size("w").cast("long").alias("n_words"), F.array_compact(held).alias("hits")), "licence-hits")
     # at most one row a licence word
     counts = hits.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count().collect()
     found = F.expr(f"""
         flatten(transform(hits, (h, j) -> coalesce(transform(filter(element_at({_postings(phrases, dict(map(tuple, counts)))}, h.word),
-            e -> forall(e.others, o -> coalesce(get(hits, j + o.d).word = o.w and get(hits, j + o.d).pos = h.pos + o.dp, false))),
+            e -> slice(h.after, 1, size(e.gap)) = e.gap
+              and forall(e.others, o -> coalesce(get(hits, j + o.d).word = o.w and get(hits, j + o.d).pos = h.pos + o.dp and slice(get(hits, j + o.d).after, 1, size(o.gap)) = o.gap, false))),
           e -> named_struct('phrase', e.phrase, 'start', h.pos - e.back)), cast(array() as array<struct<phrase:int,start:int>>))))""")
     labels, score = _report(phrases, templates)
     base = F.expr(f"transform(filter(places, x -> x.phrase < {len(BASE)}), x -> x.start)")
@@ -142,7 +155,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     phrases = _phrases(TEMPLATES)
     starts = ",\n  ".join(
-        f"list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {o + 1}] = {word!r}' for o, word in p.content)}) AS p{p.number}" for p in phrases)
+        f"list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {o + 1}] = {word!r}' for o, word in enumerate(p.text))}) AS p{p.number}" for p in phrases)
     labels, scores = [], []
     for t, template in enumerate(TEMPLATES):
         own = [p for p in phrases if p.template == t]

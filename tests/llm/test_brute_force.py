@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -45,6 +46,20 @@ def test_vector_words_are_the_regular_expressions(found):
         assert [names[h] for w in got for h in w.hashes.tolist()] == [x for w in want for x in w]
 
 
+def test_regular_words_hash_apart():
+    thue = lambda n, x: "".join(x[i.bit_count() % 2] for i in range(n))
+    found = " ".join(thue(n, x) for n in (2, 64, 1024, 2048, 4096, 65536) for x in ("ab", "ba"))
+    _, _, body, offsets = next(textnum.slices(pa.array([found + " a aa aaa"])))
+    hashes = textnum.Words(body, offsets, "token").hashes
+    assert len(hashes) == 15 == len(set(hashes.tolist()))
+
+
+def test_long_slices_hash_like_short_ones():
+    pad = "z" * (textnum._SAFE + 9)
+    one, two = (textnum.Words(*next(textnum.slices(pa.array([t])))[2:], "token").hashes for t in (pad + " some words", "some words"))
+    assert one[1:].tolist() == two.tolist()
+
+
 def test_slices_cover_all_rows():
     col = pa.array(["a" * (textnum.SLICE_BYTES + 5), None, "b", "", "c" * 10] * 3)
     rows = [(a, b) for a, b, _, _ in textnum.slices(col)]
@@ -323,6 +338,24 @@ def test_licence_text_and_notices(spark):
     assert got[3].labels == "" and got[4].labels == "cc-by-nc"
 
 
+def test_licence_phrases_are_verified_word_for_word(spark):
+    texts = ["redistribution license use in source license binary forms x the following conditions are met", "released foo bar mit license", "released under the mit license", "redistribution and use in source and binary forms the following conditions are met",
+             "redistribution and use in source or binary forms the following conditions are met", "free of charge permission is hereby granted free of charge person obtaining a copy", "distribute this software for any purpose permission to use copy modify", "permission is hereby granted free of"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[i].labels for i in range(8)] == ["", "mit", "mit,mit-notice", "bsd", "", "mit-text", "", ""]
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": list(range(8)), "text": texts}))
+    sql = c.execute(licenses.ORACLE)
+    names = [x[0] for x in sql.description]
+    for r in sql.fetchall():
+        assert r == tuple(got[r[0]][n] for n in names)
+    phrases, scanned = licenses._phrases(licenses.TEMPLATES), {i: WORD.findall(t) for i, t in enumerate(texts)}
+    for i, w in scanned.items():
+        want = {(p.number, k) for p in phrases for k in range(len(w)) if tuple(w[k : k + len(p.text)]) == p.text}
+        assert {(x.phrase, x.start) for x in got[i].places} == want
+
+
 def test_secrets_link_parts(spark):
     key = "k" + "Ab3" * 14
     df = spark.createDataFrame([(1, f"id AKIA{'A' * 16} and {key}"), (2, key), (3, "password=abc password: 'abcdefg' " + "0f" * 14), (4, "client_id=4711 secret = hunter22 https://host.example/x")], "doc_id long, text string")
