@@ -34,6 +34,10 @@ SCOPE = 256
 PART = "struct<start:int,ord:int,kind:string,end:int>"
 
 
+#: Matches whose places are summed up together.
+STEP = 256
+
+
 def _searched(pattern: str, group: int, least: int, kind: str) -> str:
     """A run's matches are maximal, so its least length, less what comes before the run, can go
     into the search itself; the text left out has no match that is long enough."""
@@ -41,19 +45,28 @@ def _searched(pattern: str, group: int, least: int, kind: str) -> str:
     return pattern[:-1] + f"{{{least - before},}}" if group == 0 and kind != "endpoint" else pattern
 
 
+def _linear(pattern: str, kind: str) -> str:
+    """The same matches in one pass over the text: a scheme is tried at the beginning of a run of
+    letters alone, where the leftmost match begins, and gives nothing back."""
+    return pattern.replace("[a-z]+", "(?<![a-z])[a-z]++") if kind == "endpoint" else pattern
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """array<PART> of all leftmost non-overlapping matches whose group has least characters.
 
     Splitting at the pattern gives the stretches between the matches, so places follow from the
-    running length of both. A text without any match costs one search."""
-    column, kind_sql, p = "_text", sql_text(kind), sql_text(_searched(pattern, group, least, kind))
+    running length of both, summed by STEP matches first. A text without any match costs one search."""
+    column, kind_sql, p = "_text", sql_text(kind), sql_text(_linear(_searched(pattern, group, least, kind), kind))
+    part = f"named_struct('start', at, 'ord', {ORDER[kind]}, 'kind', {kind_sql}, 'end', at + length(y.m[i]))"
     return F.expr(f"""
         if({column} rlike {p},
-          element_at(transform(array(named_struct('m', regexp_extract_all({column}, {p}, 0), 'g', regexp_extract_all({column}, {p}, {group}), 's', split({column}, {p}, -1))), x ->
-            filter(aggregate(if(size(x.m) = 0, cast(array() as array<int>), sequence(0, size(x.m) - 1)), named_struct('at', 0, 'out', cast(array() as array<{PART}>)),
-              (a, i) -> named_struct('at', a.at + length(x.s[i]) + length(x.m[i]), 'out', if(length(x.g[i]) >= {least},
-                array_append(a.out, named_struct('start', a.at + length(x.s[i]), 'ord', {ORDER[kind]}, 'kind', {kind_sql}, 'end', a.at + length(x.s[i]) + length(x.m[i]))), a.out)),
-              a -> a.out), y -> y is not null)), 1),
+          element_at(transform(transform(transform(
+            array(named_struct('m', regexp_extract_all({column}, {p}, 0), 'g', regexp_extract_all({column}, {p}, {group}), 's', split({column}, {p}, -1))),
+            x -> named_struct('m', x.m, 'g', x.g, 's', x.s, 'n', if(size(x.m) = 0, cast(array() as array<int>), transform(x.m, (m, i) -> length(m) + length(x.s[i]))))),
+            x -> named_struct('m', x.m, 'g', x.g, 's', x.s, 'n', x.n, 'upto', aggregate(sequence(0, size(x.n) div {STEP}), cast(array(0) as array<int>),
+              (a, k) -> array_append(a, element_at(a, -1) + aggregate(slice(x.n, k * {STEP} + 1, {STEP}), 0, (b, c) -> b + c))))),
+            y -> transform(filter(transform(y.g, (g, i) -> if(length(g) >= {least}, i, null)), i -> i is not null),
+              i -> element_at(transform(array(y.upto[i div {STEP}] + aggregate(slice(y.n, i div {STEP} * {STEP} + 1, i % {STEP}), 0, (b, c) -> b + c) + length(y.s[i])), at -> {part}), 1))), 1),
           cast(array() as array<{PART}>))""")
 
 
@@ -65,8 +78,10 @@ def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """One row a row of df: its id, parts (all base matches), linked (weak parts with a complement
     in their scope), and the counts and strings that sum them up.
 
-    A null or empty text has no spans. Rows that share an id and a text share one result; repeated
-    rows give repeated results; other columns of df are not read. A weak part that overlaps a base
+    A null or empty text has no spans; a text of any length is searched whole, in time that follows
+    its length. Rows that share an id and a text share one result; repeated rows give repeated
+    results, an empty table an empty one; spans that begin alike are in the order of the kinds; other
+    columns of df are not read, whatever their names. A weak part that overlaps a base
     match is that match's, and not reported again."""
     kinds = [*BASE, *WEAK]
     body = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
