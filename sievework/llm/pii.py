@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]|\b(?:dot\b|at\b[\])]?\s?[a-z0-9-]+\.[a-z])", re.IGNORECASE)
+#: The address pattern in one pass: from the beginning of a run of digits, where the leftmost match begins.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+#: A host's label has 63 characters at most.
+_DIGIT, _HINT = re.compile("[0-9]"), re.compile(r"[0-9@+]+|\b(?:dot\b|at\b[\])]?\s?[a-z0-9-]{1,63}\.[a-z])", re.IGNORECASE)
 LABELS = ("other", *KINDS)
 #: "first.last [at] host [dot] co [dot] uk" has 21; two more spelled dots still fit.
 MOST_ATOMS = 32
@@ -80,126 +84,203 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for k, kind in enumerate(KINDS[1:], 1):
             if (kind == "ip" and "." not in text) or (kind == "phone" and "+" not in text):
                 continue
-            found += [(k, *m.span()) for m in BASE[kind].finditer(text) if _valid(kind, m.group())]
+            found += [(k, *m.span()) for m in (_IP if kind == "ip" else BASE[kind]).finditer(text) if _valid(kind, m.group())]
     return found
 
 
 _ATOM = re.compile(r"[A-Za-z\x80-\U0010FFFF]+|[0-9]+|[^A-Za-z0-9\x80-\U0010FFFF]")
-#: A whole address with its at sign spelled.
+#: A whole address with its at sign spelled, and the most code points an address may have.
 _SPELLED = re.compile(r"[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: at | ?[\[(] ?at ?[\])] ?)[a-z0-9-]+(?:(?:\.| dot | ?[\[(] ?dot ?[\])] ?)[a-z0-9-]+)+", re.IGNORECASE)
+LONGEST_ADDRESS = 320
 _CUES = {"email": ("email", "mail", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "fax", "mobile")}
+#: Atoms before a span in which a cue counts.
+CUE_REACH = 6
 _TOP = frozenset("com org net edu de fr es io info example".split())
+#: Of a span; the last two differ by label: a cue of its kind, or of another, stands before.
 FEATURES = (
-    "bias", "luhn", "digits_13_19", "digits_9_15", "digits_7_8", "four_octets", "octets_bad", "at_inside", "spelled_at", "dot_top", "plus_first",
-    "paren", "grouped_3", "grouped_4", "one_atom", "only_digits", "has_letters", "cue_before", "other_cue", "edge_space", "long_run", "newline", "alnum_beside", "year_like", "decimal",
-    "space_inside", "punctuation_first", "spaces_4", "spaces_more", "spelled_form",
+    "bias", "luhn", "digits_13_19", "digits_9_15", "digits_7_8", "year_like", "long_run", "four_octets", "octets_bad", "decimal", "grouped_3", "grouped_4", "at_inside", "spelled_at", "spelled_form", "dot_top",
+    "plus_first", "punctuation_first", "punctuation_last", "paren", "one_atom", "only_digits", "has_letters", "space_inside", "spaces_4", "spaces_more", "alnum_beside", "cue_before", "other_cue",
 )
-_ALL_CUES = frozenset(x for cues in _CUES.values() for x in cues)
-_CUE_BEFORE, _OTHER_CUE = FEATURES.index("cue_before"), FEATURES.index("other_cue")
-
-
-def _features(atoms: list[str], a: int, b: int) -> list[list[int]]:
-    """Indices of the features that hold for atoms[a:b], for each label but 'other'."""
-    span = "".join(atoms[a:b])
-    digits = [x for x in atoms[a:b] if x[0] in "0123456789"]
-    n = sum(map(len, digits))
-    letters = any(x[0].isalpha() for x in atoms[a:b])
-    before = {x.lower() for x in atoms[max(0, a - 6) : a]}
-    octets = span.split(".")
-    on = {
-        "bias": True, "luhn": not letters and 13 <= n <= 19 and luhn("".join(digits)), "digits_13_19": 13 <= n <= 19, "digits_9_15": 9 <= n <= 15, "digits_7_8": 7 <= n <= 8,
-        "four_octets": len(octets) == 4 and all(x.isascii() and x.isdigit() and int(x[:4]) <= 255 for x in octets), "octets_bad": len(octets) == 4 and all(x.isascii() and x.isdigit() for x in octets) and any(int(x[:4]) > 255 for x in octets),
-        "at_inside": "@" in span[1:-1], "spelled_at": any(x.lower() == "at" for x in atoms[a + 1 : b - 1]) and any(x.lower() == "dot" or x == "." for x in atoms[a + 1 : b - 1]), "dot_top": atoms[b - 1].lower() in _TOP,
-        "plus_first": span[0] == "+", "paren": "(" in span and ")" in span, "grouped_3": len(digits) >= 3 and all(2 <= len(x) <= 4 for x in digits), "grouped_4": len(digits) >= 3 and all(len(x) == 4 for x in digits[:-1]),
-        "one_atom": b - a == 1, "only_digits": b - a == 1 and n > 0, "has_letters": letters,
-        "edge_space": span[0].isspace() or span[-1].isspace() or span[-1] in ".,;:!?-/", "long_run": n > 19, "newline": "\n" in span,
-        "alnum_beside": (a > 0 and atoms[a - 1][0].isalnum() and span[0].isalnum()) or (b < len(atoms) and atoms[b][0].isalnum() and span[-1].isalnum()) or (a > 0 and atoms[a - 1] in "._-@" and span[0].isalnum()),
-        "space_inside": " " in span, "punctuation_first": not (span[0].isalnum() or span[0] in "+("), "spaces_4": span.count(" ") == 4, "spaces_more": span.count(" ") > 4,
-        "year_like": n <= 4, "decimal": len(digits) == 2 and "." in span,
-    }
-    on["spelled_form"] = on["spelled_at"] and (on["dot_top"] or "[" in span or "(" in span) and _SPELLED.fullmatch(span) is not None
-    same = [k for k, name in enumerate(FEATURES) if on.get(name)]
-    if before.isdisjoint(_ALL_CUES):
-        return [same] * len(KINDS)
-    cued = [not before.isdisjoint(_CUES[kind]) for kind in KINDS]
-    return [same + [_CUE_BEFORE] * cued[k] + [_OTHER_CUE] * any(cued[:k] + cued[k + 1 :]) for k in range(len(KINDS))]
+SHARED = len(FEATURES) - 2
+#: Starts whose spans are scored together.
+STARTS = 4096
+#: Attributes of an atom: digits, whether they make an octet, checksum sums of them with those at even
+#: and at odd places doubled, then what kind of atom it is.
+_ATTRIBUTES = ("digits", "octet", "even", "odd", "digit", "letter", "space", "newline", "at_sign", "at_word", "dot", "dot_word", "top", "open", "close", "bracket", "plus", "ends", "joins", *(f"cue_{k}" for k in KINDS))
+
+
+def _attributes(x: str) -> tuple[int, ...]:
+    digit, low = x[0] in "0123456789", x.lower()
+    letter = x[0].isascii() and x[0].isalpha() or x[0] > "\x7f"
+    doubled = [[int(c) * (1 + (i % 2 == parity)) for i, c in enumerate(x)] if digit and len(x) <= 19 else [] for parity in (0, 1)]
+    even, odd = (sum(d - 9 * (d > 9) for d in own) for own in doubled)
+    return tuple(int(v) for v in (
+        len(x) if digit else 0, digit and int(x[:4]) <= 255, even, odd, digit, letter, x.isspace(), x == "\n", x == "@", low == "at", x == ".", low == "dot", low in _TOP, x == "(", x == ")", x in "[(", x == "+",
+        x in ".,;:!?-/", x in "._-@", *(low in _CUES[k] for k in KINDS)))
+
+
+class _Known(dict):
+    """Attributes of atoms that have been met; begun anew when there are many."""
+
+    MOST = 100_000
+
+    def __missing__(self, x: str) -> tuple[int, ...]:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[x] = _attributes(x) if x else (0,) * 7 + (1,) + (0,) * (len(_ATTRIBUTES) - 8)
+        return self[x]
+
+
+_KNOWN = _Known()
+
+
+class Line:
+    """Atoms of several islands one after the other, each followed by an empty one that no span holds."""
+
+    def __init__(self, islands: list[list[str]]) -> None:
+        self.atoms = [x for island in islands for x in (*island, "")]
+        number = {x: k for k, x in enumerate(dict.fromkeys(self.atoms))}
+        table = np.array([_KNOWN[x] for x in number], np.int32)
+        number = np.fromiter(map(number.__getitem__, self.atoms), np.int64, len(self.atoms))
+        self.is_ = {name: table[number, k] for k, name in enumerate(_ATTRIBUTES)}
+        n, of = len(self.atoms), self.is_
+        upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        of["short"], of["four"] = (of["digits"] >= 2) & (of["digits"] <= 4), of["digits"] == 4
+        of["long"] = of["digits"] > 19
+        self.upto = {name: upto(of[name]) for name in ("digits", "digit", "letter", "space", "at_sign", "at_word", "dot", "dot_word", "open", "close", "bracket", "short", "four", "long")}
+        # checksum sums along the line, doubling digits at even or at odd places of it
+        swap = self.upto["digits"][:-1] % 2 == 1
+        self.doubled = upto(np.where(swap, of["odd"], of["even"])), upto(np.where(swap, of["even"], of["odd"]))
+        places = np.arange(n)
+        self.limit = np.minimum.accumulate(np.where(of["newline"] == 1, places, n)[::-1])[::-1]  # the next barrier
+        self.last_digit = np.maximum.accumulate(np.where(of["digit"] == 1, places, -1))
+        last = np.maximum.accumulate(np.where(of["newline"] == 1, places, -1))
+        reach = np.maximum(places - CUE_REACH, last + 1)
+        self.cued = np.stack([(c := upto(of[f"cue_{k}"]))[places] - c[np.minimum(reach, places)] > 0 for k in KINDS])
+
+    def spans(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of all spans that could be an entity and begin in lo to hi, by start, then
+        end: bounded in atoms, with a digit, an at sign or the word, and no white space at either end."""
+        a = np.flatnonzero((self.is_["space"][lo:hi] == 0) & (self.is_["newline"][lo:hi] == 0)) + lo
+        b = a[:, None] + np.arange(1, MOST_ATOMS + 1)
+        inside = b <= self.limit[a][:, None]
+        b = np.where(inside, b, a[:, None] + 1)
+        some = sum(self.upto[k][b] - self.upto[k][a][:, None] for k in ("digit", "at_sign", "at_word")) > 0
+        row, column = np.nonzero(inside & some & (self.is_["space"][b - 1] == 0))
+        return a[row], b[row, column]
+
+    def features(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(SHARED, spans): which of the features that all labels share hold for each span."""
+        of = self.is_
+        count = lambda k: self.upto[k][b] - self.upto[k][a]
+        within = lambda k: np.where(b - a > 2, self.upto[k][b - 1] - self.upto[k][np.minimum(a + 1, b - 1)], 0) > 0
+        n, runs, letters, spaces, dots = count("digits"), count("digit"), count("letter") > 0, count("space"), count("dot")
+        alone = (b - a == 1)
+        parity = self.upto["digits"][b] % 2
+        total = np.where(parity == 0, self.doubled[0][b] - self.doubled[0][a], self.doubled[1][b] - self.doubled[1][a])
+        octets = (b - a == 7) & (runs == 4) & (dots == 3)
+        for k in range(0, 7, 2):
+            octets &= of["digit"][np.minimum(a + k, len(self.atoms) - 1)] == 1
+        fits = octets.copy()
+        for k in range(0, 7, 2):
+            fits &= of["octet"][np.minimum(a + k, len(self.atoms) - 1)] == 1
+        final = np.maximum(self.last_digit[b - 1], a)
+        but_last = self.upto["four"][final] - self.upto["four"][a]
+        spelled_at = within("at_word") & (within("dot_word") | within("dot"))
+        first, last = a, b - 1
+        alnum = (of["digit"] == 1) | (of["letter"] == 1)
+        before, after = np.maximum(a - 1, 0), np.minimum(b, len(self.atoms) - 1)
+        beside = alnum[first] & ((a > 0) & (alnum[before] | (of["joins"][before] == 1))) | alnum[last] & (b < len(self.atoms)) & alnum[after]
+        top = of["top"][last] == 1
+        spelled = np.zeros(len(a), bool)
+        for k in np.flatnonzero(spelled_at & (top | (count("bracket") > 0))).tolist():
+            span = "".join(self.atoms[a[k] : b[k]])
+            spelled[k] = len(span) <= LONGEST_ADDRESS and _SPELLED.fullmatch(span) is not None
+        held = {
+            "bias": np.ones(len(a), bool), "luhn": ~letters & (n >= 13) & (n <= 19) & (total % 10 == 0), "digits_13_19": (n >= 13) & (n <= 19), "digits_9_15": (n >= 9) & (n <= 15), "digits_7_8": (n >= 7) & (n <= 8), "year_like": n <= 4, "long_run": n > 19,
+            "four_octets": fits, "octets_bad": octets & ~fits, "decimal": (runs == 2) & (dots > 0), "grouped_3": (runs >= 3) & (count("short") == runs), "grouped_4": (runs >= 3) & (but_last == runs - 1),
+            "at_inside": within("at_sign"), "spelled_at": spelled_at, "spelled_form": spelled, "dot_top": top,
+            "plus_first": of["plus"][first] == 1, "punctuation_first": ~alnum[first] & (of["plus"][first] == 0) & (of["open"][first] == 0), "punctuation_last": of["ends"][last] == 1, "paren": (count("open") > 0) & (count("close") > 0),
+            "one_atom": alone, "only_digits": alone & (n > 0), "has_letters": letters, "space_inside": spaces > 0, "spaces_4": spaces == 4, "spaces_more": spaces > 4, "alnum_beside": beside,
+        }
+        return np.stack([held[k] for k in FEATURES[:SHARED]])
+
+    def cues(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(labels, spans): whether a cue of the label's kind stands before a span, and one of another."""
+        own = self.cued[:, a]
+        return own, (own.sum(axis=0) - own) > 0
+
+
+def scores(weights: np.ndarray, shared: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """(labels, spans)."""
+    return weights[:, :SHARED] @ shared + weights[:, SHARED, None] * own + weights[:, SHARED + 1, None] * other
 
 
 class Field:
-    """weights: a row of feature weights for every label but 'other', whose one-atom segments score 0."""
+    """weights: a row of feature weights for every label but 'other', whose one-atom segments score 0.
 
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights = weights
+    They are multiples of 2**-10, so sums of them are exact in any order and on any machine."""
 
-    def candidates(self, atoms: list[str]) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(start, end, label, features) of all segments that could be an entity, by start: bounded
-        in atoms, with a digit or an at sign, and no white space at either end."""
-        for a in range(len(atoms)):
-            if atoms[a].isspace():
-                continue
-            digits = at = False
-            for b in range(a + 1, min(a + MOST_ATOMS, len(atoms)) + 1):
-                x = atoms[b - 1]
-                digits, at = digits or x[0] in "0123456789", at or x == "@" or x.lower() == "at"
-                if x == "\n":
-                    break
-                if x.isspace() or not (digits or at):
-                    continue
-                yield from ((a, b, label, on) for label, on in enumerate(_features(atoms, a, b), 1))
-
-    def best(self, atoms: list[str]) -> list[tuple[int, int, int]]:
-        """The highest-scoring segmentation's entities: (start, end, label) in atoms.
-
-        Candidates come by start, and all that end at a start came before it, so none is held:
-        memory and time follow the number of atoms, and an island needs no cut."""
-        weights = self.weights.tolist()
-        top = [0.0] * (len(atoms) + 1)
-        back: dict[int, tuple[int, int]] = {}  # ends of segments that may be in the best segmentation
-        done = 0
-        for a, b, label, on in self.candidates(atoms):
-            own = weights[label - 1]
-            if (score := sum([own[k] for k in on])) <= 0:
-                continue
-            for i in range(done + 1, a + 1):
-                if top[i] <= top[i - 1]:
-                    top[i] = top[i - 1]
-                    back.pop(i, None)
-            done = max(done, a)
-            if top[a] + score > top[b]:
-                top[b], back[b] = top[a] + score, (a, label)
-        for i in range(done + 1, len(atoms) + 1):
-            if top[i] <= top[i - 1]:
-                top[i] = top[i - 1]
-                back.pop(i, None)
-        out, b = [], len(atoms)
-        while b > 0:
-            a, label = back.get(b, (b - 1, 0))
-            if label:
-                out.append((a, b, label))
-            b = a
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = np.round(weights * 1024) / 1024
+
+    def best(self, line: Line) -> list[tuple[int, int, int]]:
+        """The entities of the highest-scoring segmentation: (start, end, label), in atoms.
+
+        Only spans that score above nought can be in it. Taken by their end, each either extends the
+        best segmentation of what lies before its start or is left out. Of equal ones the one whose last
+        entity ends first wins, then the longer entity, then the first label."""
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for lo in range(0, len(line.atoms), STARTS):
+            a, b = line.spans(lo, min(lo + STARTS, len(line.atoms)))
+            if len(a):
+                s = scores(self.weights, line.features(a, b).astype(np.float64), *line.cues(a))
+                label, top = s.argmax(axis=0), s.max(axis=0)
+                good = top > 0
+                for column, value in zip(parts, (a, b, label + 1, top), strict=True):
+                    column.append(value[good])
+        if not parts[0]:
+            return []
+        a, b, label, score = (np.concatenate(x) for x in parts)
+        order = np.lexsort((a, b))
+        a, b, label, score = (x[order] for x in (a, b, label, score))
+        free = np.searchsorted(b, a, "right").tolist()  # how many spans end before this one begins
+        best, taken = [0.0], []
+        for k, (before, own) in enumerate(zip(free, score.tolist(), strict=True)):
+            taken.append(best[before] + own > best[k])
+            best.append(best[before] + own if taken[k] else best[k])
+        out, k = [], len(taken)
+        while k > 0:
+            if taken[k - 1]:
+                out.append((int(a[k - 1]), int(b[k - 1]), int(label[k - 1])))
+                k = free[k - 1]
+            else:
+                k -= 1
         return out[::-1]
 
-    def gradient(self, n: int, candidates: list[tuple[int, int, int, list[int]]], gold: set[tuple[int, int, int]]) -> tuple[float, np.ndarray]:
-        """Log likelihood of the gold entities among n atoms and its gradient, by sums forwards and backwards."""
-        into: dict[int, list] = {}
-        outof: dict[int, list] = {}
-        segments = []
-        for a, b, label, on in candidates:
-            seg = (a, b, label, on, float(self.weights[label - 1, on].sum()))
-            segments.append(seg)
-            into.setdefault(b, []).append(seg)
-            outof.setdefault(a, []).append(seg)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        for b in range(1, n + 1):
-            forward[b] = float(np.logaddexp.reduce([forward[b - 1], *(forward[s[0]] + s[4] for s in into.get(b, ()))]))
-        for a in range(n - 1, -1, -1):
-            backward[a] = float(np.logaddexp.reduce([backward[a + 1], *(backward[s[1]] + s[4] for s in outof.get(a, ()))]))
-        grad, likely = np.zeros_like(self.weights), -forward[n]
-        for a, b, label, on, score in segments:
-            own = (a, b, label) in gold
-            grad[label - 1, on] += own - np.exp(forward[a] + score + backward[b] - forward[n])
-            likely += own * score
-        return likely, grad
+
+def likelihood(weights: np.ndarray, line: Line, gold: set[tuple[int, int, int]]) -> tuple[float, np.ndarray]:
+    """Log likelihood of the gold entities among all segmentations of a line, and its gradient, by sums
+    over segmentations from either end."""
+    n = len(line.atoms)
+    a, b = line.spans(0, n)
+    shared, (own, other) = line.features(a, b).astype(np.float64), line.cues(a)
+    s = scores(weights, shared, own, other)
+    each = np.exp(s)
+    step = np.zeros((n + 1, n + 1))
+    step[a, b] = each.sum(axis=0)
+    forward, backward = np.ones(n + 1), np.ones(n + 1)
+    for k in range(1, n + 1):
+        forward[k] = forward[k - 1] + forward[:k] @ step[:k, k]
+    for k in range(n - 1, -1, -1):
+        backward[k] = backward[k + 1] + step[k, k + 1 :] @ backward[k + 1 :]
+    off = -each * (forward[a] * backward[b] / forward[n])
+    place = {ab: k for k, ab in enumerate(zip(a.tolist(), b.tolist(), strict=True))}
+    likely = -np.log(forward[n])
+    for x, y, label in gold:
+        off[label - 1, place[x, y]] += 1
+        likely += s[label - 1, place[x, y]]
+    return float(likely), np.concatenate([off @ shared.T, (off * own).sum(axis=1)[:, None], (off * other).sum(axis=1)[:, None]], axis=1)
 
 
 def _examples(rng: random.Random, n: int) -> Iterator[tuple[list[str], set[tuple[int, int, int]]]]:
@@ -253,17 +334,16 @@ def _examples(rng: random.Random, n: int) -> Iterator[tuple[list[str], set[tuple
 def train_field(n: int = 300, rounds: int = 8, seed: int = 9) -> Field:
     """Stochastic gradient ascent with a small ridge on generated islands; the same every time."""
     rng = random.Random(seed)
-    field = Field(np.zeros((len(KINDS), len(FEATURES))))
-    examples = [(len(atoms), list(field.candidates(atoms)), gold) for atoms, gold in _examples(rng, n)]
-    squares = np.full_like(field.weights, 1e-3)
+    weights = np.zeros((len(KINDS), len(FEATURES)))
+    examples = [(Line([atoms]), gold) for atoms, gold in _examples(rng, n)]
+    squares = np.full_like(weights, 1e-3)
     for _ in range(rounds):
         rng.shuffle(examples)
-        for size, candidates, gold in examples:
-            _, grad = field.gradient(size, candidates, gold)
-            grad -= 1e-3 * field.weights
+        for line, gold in examples:
+            grad = likelihood(weights, line, gold)[1] - 1e-3 * weights
             squares += grad * grad
-            field.weights += 0.5 * grad / np.sqrt(squares)
-    return field
+            weights += 0.5 * grad / np.sqrt(squares)
+    return Field(weights)
 
 
 def _islands(text: str) -> Iterator[tuple[int, int]]:
@@ -271,6 +351,8 @@ def _islands(text: str) -> Iterator[tuple[int, int]]:
     words at either end are whole."""
     begin = end = -1
     for m in _HINT.finditer(text):
+        if m.end() + MARGIN <= end:
+            continue
         lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         while lo > max(end, 0) and not text[lo - 1].isspace():  # no word is cut
             lo -= 1
@@ -288,32 +370,48 @@ def _islands(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def field_spans(field: Field, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The field's entities that touch no base match."""
-    taken = sorted((a, b) for _, a, b in base)
-    found = []
-    for begin, end in _islands(text):
-        atoms = _ATOM.findall(text[begin:end])
-        said = {x.lower() for x in atoms}
-        if sum(x[0] in "0123456789" for x in atoms) < 2 and said.isdisjoint(("@", "dot")) and not {"at", "."} <= said:
-            continue  # too little for any kind
-        at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + begin
-        for a, b, label in field.best(atoms):
-            lo, hi = int(at[a]), int(at[b])
-            if not any(x < hi and lo < y for x, y in taken):
-                found.append((label - 1, lo, hi))
-    return sorted(set(found))
-
-
-OUTPUT = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+def field_spans(field: Field, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """For each text the field's entities that touch no base match."""
+    islands, where = [], []
+    for k, text in enumerate(texts):
+        for begin, end in _islands(text):
+            atoms = _ATOM.findall(text[begin:end])
+            said = {x.lower() for x in set(atoms)}
+            if sum(x[0] in "0123456789" for x in atoms) < 2 and said.isdisjoint(("@", "dot")) and not {"at", "."} <= said:
+                continue  # too little for any kind
+            islands.append(atoms)
+            where.append((k, begin))
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if not islands:
+        return found
+    line = Line(islands)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in line.atoms])]).tolist()
+    firsts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in islands])]).tolist()
+    taken = []
+    for own in base:
+        spans = sorted((a, b) for _, a, b in own)
+        taken.append(([a for a, _ in spans], list(accumulate((b for _, b in spans), max))))
+    for a, b, label in field.best(line):
+        i = bisect_right(firsts, a) - 1
+        k, begin = where[i]
+        lo, hi = (at[x] - at[firsts[i]] + begin for x in (a, b))
+        starts, ends = taken[k]
+        before = bisect_left(starts, hi)  # base matches that begin before this one's end
+        if not before or ends[before - 1] <= lo:
+            found[k].append((label - 1, lo, hi))
+    return [sorted(x) for x in found]
+
+
+OUTPUT = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long"
 
 
 def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id", field: Field | None = None) -> DataFrame:
     """One row a row of df: its id, the counts of base matches, base and spans as kind:start:end by
-    kind and start (code points, end exclusive).
+    kind and start (code points, end exclusive), and the number of spans.
 
-    A null or empty text has none; repeated rows give repeated results; other columns of df are not
-    read."""
+    A null or empty text has none; a text of any length is read whole, in time that follows its
+    length; repeated rows give repeated results, an empty table an empty one; of equal segmentations
+    the one that Field.best names is taken; other columns of df are not read, whatever their names."""
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(field or train_field())  # some hundred weights
     rows = df.select(F.col(text).alias("_text"), F.col(doc_id).alias("id"))
@@ -322,17 +420,12 @@ def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         for batch in batches:
             for row, end, body, offsets in slices(batch.column(0)):
-                columns: list[list] = [[] for _ in range(6)]
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    own = body[a:b].tobytes().decode()
-                    base = base_spans(own)
-                    more = field_spans(sent.value, own, base)
-                    for k in range(4):
-                        columns[k].append(sum(x[0] == k for x in base))
-                    columns[4].append(said(base))
-                    columns[5].append(said(sorted({*base, *more})))
-                arrays = [*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), *arrays], ["id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                texts = [body[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                base = [base_spans(t) for t in texts]
+                every = [sorted({*x, *y}) for x, y in zip(base, field_spans(sent.value, texts, base), strict=True)]
+                counts = [pa.array([sum(x[0] == k for x in own) for own in base], pa.int64()) for k in range(len(KINDS))]
+                arrays = [*counts, pa.array(map(said, base), pa.string()), pa.array(map(said, every), pa.string()), pa.array(map(len, every), pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), *arrays], ["id", *(x.split(" ")[0] for x in OUTPUT.split(", "))])
 
     schema = rows.select("id").schema
     for part in OUTPUT.split(", "):
@@ -342,4 +435,4 @@ def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_spans")
