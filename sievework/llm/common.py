@@ -74,6 +74,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Rows that are broadcast at most, of a few narrow columns; and the tasks that rows of one key are dealt
+#: to where their partner is too large for that.
+BROADCAST_ROWS, SALTS = 500_000, 64
+
+
+def spread(rows: DataFrame, few: DataFrame, on: list[str], how: str, by: str) -> DataFrame:
+    """Rows joined with few, a written table of narrow rows whose keys are all different: broadcast up to
+    BROADCAST_ROWS; beyond that a key's rows are dealt by the column by to SALTS tasks, each with a
+    copy of what they meet."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), on, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def carried(df: DataFrame, outputs: list[str]) -> list[str]:
     """The input columns that an operator passes on: all that have no output's name, which the
     output replaces."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import durable, small_batches, spread, table
 from .textnum import Words, mix, runs, slices
 
 SHINGLE = 5
@@ -40,8 +40,6 @@ SLOTS = 1 << 20
 BLOCK = 256
 #: Partners of one pivot that share a task.
 PARTNERS = 512
-#: Tasks that rows of one key are dealt to where their partner is too large a table to broadcast.
-SALTS = 64
 OUTPUTS = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
@@ -268,15 +266,6 @@ def _linked(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(ids[root[moved]], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
 
 
-def _spread(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Rows (with an id) joined with few, a written table of unlike keys: broadcast up to BROADCAST_IDS
-    rows; beyond that a key's rows are dealt to SALTS tasks, each with a copy of what they meet."""
-    if few.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(few), on, how)
-    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
-
-
 def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(id, comp) -> links (a, b) between components, each confirmed on full sets.
 
@@ -288,8 +277,8 @@ def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
     before = W.partitionBy("family").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = durable(parts.select("family", "part", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("begin"), F.sum("blocks").over(W.partitionBy("family")).alias("all")), "near-parts")
     # rows of the few large components and families meet their numbers where they are, or dealt by id too
-    large = _spread(member, durable(sized.filter("large is not null").select("family", "comp", F.col("large").alias("part")), "near-large"), ["family", "comp"], "left")
-    placed = _spread(large.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))), parts, ["family", "part"], "inner")
+    large = spread(member, durable(sized.filter("large is not null").select("family", "comp", F.col("large").alias("part")), "near-large"), ["family", "comp"], "left", "id")
+    placed = spread(large.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))), parts, ["family", "part"], "inner", "id")
     placed = placed.withColumn("block", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda k: (F.col("part") == -1) | (k < F.col("begin")) | (k >= F.col("begin") + F.col("blocks")))
     met = placed.select("family", "id", "comp", "block", F.explode(other).alias("k"))

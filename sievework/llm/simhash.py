@@ -15,27 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table, words
-from .sharding import rank_in
+from .common import durable, spread, table, words
 
 BITS, LANES = 64, 32
 #: Weight of a word: its length, this at most.
 MOST_WEIGHT = 8
 RADIUS, BLOCKS = 3, 5
-#: Rows of an id range that share a task, and the most ranges (their bounds are a literal).
-RANGE_ROWS, MOST_RANGES = 250, 4096
+#: Ids of a range, which one task puts in order.
+RANGE_ROWS = 200_000
+#: What tells a document from others, in their order: null ids come last.
+PLACE = ("none", "at", "digest")
 _PAIR = (1 << 32) + 1
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of keys and text -> one row for each value of keys, with fp and n, how many rows had it.
-    A text without words has fingerprint 0; a tied bit is 0."""
-    word = texts.select(*keys, F.posexplode_outer(words("text")).alias("pos", "word"))
+    """Rows of keys and text, none twice -> keys and fp. A text without words has fingerprint 0; a tied
+    bit is 0. A word weighs no more than it has bytes, so no half of a sum outgrows its 32 bits."""
+    word = texts.select(*keys, F.explode_outer(words("text")).alias("word"))
     weight = F.when(F.col("word").isNull(), 0).otherwise(F.least(F.char_length("word"), F.lit(MOST_WEIGHT))).cast("long")
-    word = word.select(*keys, (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("one"), F.coalesce(F.xxhash64("word"), F.lit(0)).alias("h"), weight.alias("w"))
-    votes = word.groupBy(*keys).agg(
-        F.sum("one").alias("n"), F.sum("w").alias("w"),
-        *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_PAIR)) * F.col("w")).alias(f"v{k}") for k in range(LANES)])
+    word = word.select(*keys, F.coalesce(F.xxhash64("word"), F.lit(0)).alias("h"), weight.alias("w"))
+    votes = word.groupBy(*keys).agg(F.sum("w").alias("w"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_PAIR)) * F.col("w")).alias(f"v{k}") for k in range(LANES)])
     low, high = (lambda k: F.col(f"v{k}").bitwiseAND(F.lit((1 << 32) - 1))), (lambda k: F.shiftrightunsigned(f"v{k}", 32))
     bit = lambda count, at: F.when(2 * count > F.col("w"), F.lit((1 << at) - (1 << 64) * (at == 63))).otherwise(F.lit(0).cast("long"))
     halves = [bit(low(k), k) for k in range(LANES)], [bit(high(k), k + 32) for k in range(LANES)]
@@ -45,7 +44,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
         for b in part[1:]:
             total = total.bitwiseOR(b)
         votes = votes.withColumn(name, total)
-    return votes.select(*keys, "n", F.col("b0").bitwiseOR(F.col("b1")).alias("fp"))
+    return votes.select(*keys, F.col("b0").bitwiseOR(F.col("b1")).alias("fp"))
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
@@ -74,27 +73,24 @@ def within_radius(index: DataFrame, queries: DataFrame, radius: int = RADIUS, bl
     return met.select(F.col("q_fp").alias("query"), F.col("i_fp").alias("fp"), F.col("i_n").alias("n"))
 
 
-def with_next(df: DataFrame) -> DataFrame:
-    """Rows of id and text -> id, text, digest, next_id, next_digest, next_text: the row that follows
-    by id (then by digest; null ids last), and for the last one the first.
-
-    Ids are cut into ranges at their approximate quantiles; each range gets a copy of the row that
-    follows its last one, so that nothing is ever ordered as a whole."""
-    rows = df.select("id", "text", F.xxhash64("text").alias("digest"))
-    n = df.count()
-    ranges = max(64, min(MOST_RANGES, n // RANGE_ROWS))
-    cuts = df.agg(F.percentile_approx("id", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10 * ranges)).alias("c")).first().c or []
-    rows = rows.withColumn("rng", F.coalesce(rank_in(sorted(set(cuts)), F.col("id")), F.lit(ranges)))
-    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("at"), F.col("digest").alias("d"))
-    # one row a range: bounded by MOST_RANGES
-    firsts = rows.groupBy("rng").agg(F.min(place).alias("p"))
+def successors(rows: DataFrame) -> DataFrame:
+    """Rows of PLACE and n_chars -> those, n and next_ of each: n documents at that place are followed
+    by that one; the last by the first, and documents alike by each other.
+
+    Places are ordered in ranges of some RANGE_ROWS, as many as there are; the last of a range is
+    followed by the first of the next one, which a table of one row a range tells."""
+    own = durable(rows.groupBy(*PLACE, "n_chars").agg(F.count("*").alias("n")), "places")
+    ranges = max(1, -(-own.count() // RANGE_ROWS))
+    ordered = durable(own.repartitionByRange(ranges, *PLACE).withColumn("rng", F.spark_partition_id()), "places-in-ranges")
+    place = F.struct(*PLACE)
     around = W.orderBy("rng")
-    firsts = durable(firsts.select("p", F.coalesce(F.lag("rng").over(around), F.max("rng").over(W.partitionBy())).alias("to")), "next-firsts")
-    ends = rows.withColumn("p", place).join(F.broadcast(firsts), "p").select("id", "text", "digest", F.col("to").alias("rng"), F.lit(1).alias("sentinel"))
-    line = W.partitionBy("rng").orderBy("sentinel", F.col("id").asc_nulls_last(), "digest")
-    both = rows.withColumn("sentinel", F.lit(0)).unionByName(ends)
-    led = both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in ("id", "digest", "text")])
-    return led.filter("sentinel = 0").drop("sentinel", "rng")
+    firsts = ordered.groupBy("rng").agg(F.min(place).alias("first"))
+    firsts = durable(firsts.select("rng", F.coalesce(F.lead("first").over(around), F.min("first").over(W.partitionBy())).alias("beyond")), "places-beyond")
+    led = spread(ordered.withColumn("after", F.lead(place).over(W.partitionBy("rng").orderBy(*PLACE))), firsts, ["rng"], "inner", "at")
+    after = F.coalesce("after", "beyond")
+    alike = F.when(F.col("n") > 1, F.struct(place.alias("p"), (F.col("n") - 1).alias("n")))
+    each = F.when(after == place, F.array(F.struct(place.alias("p"), F.col("n").alias("n")))).otherwise(F.array_compact(F.array(alike, F.struct(after.alias("p"), F.lit(1).cast("long").alias("n")))))
+    return led.select(*PLACE, "n_chars", F.explode(each).alias("e")).select(*PLACE, "n_chars", "e.n", *[F.col(f"e.p.{c}").alias(f"next_{c}") for c in PLACE])
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", query_step: int = 100) -> DataFrame:
@@ -103,27 +99,33 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
     fingerprints within RADIUS bits (else null).
 
     The edited text has the last half of the code points replaced by the next document's first. A
-    null text is empty; rows are ordered by id, then by a hash of the text, null ids last; rows alike
-    in both follow each other. A single row follows itself. Other columns of df are not read."""
-    rows = with_next(df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    null text is empty, a text of any length is read whole; rows are ordered by id, then by a hash of
+    the text, null ids last; rows alike in both follow each other. A single row follows itself. An
+    empty table gives an empty result; other columns of df are not read, whatever their names."""
+    texts = df.select(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.xxhash64("text"))
+    links = durable(successors(texts.select(*PLACE, F.char_length("text").cast("long").alias("n_chars"))), "successors")
+    if not links.filter("n > 1 or digest = next_digest and at = next_at and none = next_none").isEmpty():
+        texts = texts.groupBy(*PLACE).agg(F.first("text").alias("text"))
+    # the next document's part travels to its place, so each text is dealt once as a whole and once in part
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half)))
-    keys = ["id", "digest", "next_id", "next_digest", "n_chars", "sha"]
+    heads = links.join(texts.withColumnsRenamed({c: f"next_{c}" for c in PLACE}), [f"next_{c}" for c in PLACE]).select(*links.columns, F.substr("text", F.lit(1), half).alias("head"))
+    rows = heads.join(texts, list(PLACE)).withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), "head"))
+    keys = [*links.columns, "sha"]
     rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("part"), "text"), F.struct(F.lit(1).alias("part"), F.col("edited").alias("text")))).alias("t"))
     found = fingerprints(rows.select(*keys, "t.part", "t.text"), [*keys, "part"])
-    found = found.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("part") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("part") == 1, F.col("fp"))).alias("edited_fp"))
+    found = found.groupBy(*keys).agg(F.max(F.when(F.col("part") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("part") == 1, F.col("fp"))).alias("edited_fp"))
     found = durable(found, "fingerprints")
-    of = found.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("fp").alias("next_fp")).distinct()
-    out = found.join(of, F.col("next_id").eqNullSafe(F.col("i")) & (F.col("next_digest") == F.col("d")))
+    of = found.select(*[F.col(c).alias(f"next_{c}") for c in PLACE], F.col("fp").alias("next_fp")).distinct()
+    out = found.join(of, [f"next_{c}" for c in PLACE])
 
     index = durable(found.groupBy("fp").agg(F.sum("n").alias("n")), "fingerprint-index")
-    queries = found.filter(F.col("id") % query_step == 0).select("fp").distinct()
-    near = within_radius(index, queries).groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    out = out.join(near, (F.col("fp") == F.col("query")) & (F.col("id") % query_step == 0), "left")
+    asked = ~F.col("none") & (F.col("at") % query_step == 0)
+    near = within_radius(index, found.filter(asked).select("fp").distinct()).groupBy("query").agg((F.sum("n") - 1).alias("near"))
+    out = spread(out, durable(near.withColumnRenamed("query", "fp"), "fingerprints-near"), ["fp"], "left", "at")
     return out.select("*", F.explode(F.expr("sequence(1L, n)")).alias("_")).select(
-        F.col("id").alias(doc_id), "n_chars", F.col("sha").alias("edited_sha256"), *[F.lpad(F.lower(F.hex(f)), 16, "0").alias(name) for f, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))],
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near")
+        F.when(~F.col("none"), F.col("at")).alias(doc_id), "n_chars", F.col("sha").alias("edited_sha256"), *[F.lpad(F.lower(F.hex(f)), 16, "0").alias(name) for f, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))],
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), F.when(asked, F.col("near")).alias("n_near"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,20 @@ def test_simhash(docs, texts):
         assert r.n_near == (sum((prints[i] ^ p).bit_count() <= simhash.RADIUS for p in prints.values()) - 1 if i % 100 == 0 else None)
 
 
+def test_documents_follow_each_other_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 7)
+    rows = [(i, f"text {i}") for i in range(100, 160)] + [(3, "same")] * 4 + [(3, "other")] * 2 + [(None, "none")] * 3
+    got = simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    line = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), seed=42) - (xxhash.xxh64_intdigest(r[1].encode(), seed=42) >> 63 << 64)))
+    want = collections.Counter()
+    for (i, t), (_, following) in zip(line, line[1:] + line[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    alone = simhash.fingerprint_documents(spark.createDataFrame([(1, "abcd")] * 3, "doc_id long, text string")).collect()
+    assert [r.edited_sha256 for r in alone] == [hashlib.sha256(b"abab").hexdigest()] * 3
+
+
 def test_block_tables_miss_nothing(spark):
     rng = random.Random(3)
     queries = [rng.getrandbits(64) for _ in range(20)]
