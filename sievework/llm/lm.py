@@ -9,6 +9,10 @@ Counting works on chunks of a few megabytes of text. A chunk sends its distinct
 in order) with their counts to buckets, which are ranges of the hash; a bucket adds up the counts of
 all chunks and answers each with the totals of its keys, in its order. So a common token or pair
 costs one entry a chunk, not one row an occurrence, and no table of counts is ever held whole.
+
+Chunks times buckets would grow with the square of the input. So a chunk sends to FAN buckets at
+most; where more are needed, the packets that groups of some FAN chunks send to a bucket are merged
+first, cut anew into the smaller buckets inside it, and the totals go back the same way.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import BROADCAST_ROWS, durable, small_batches, table
 from .textnum import Words, mix
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Text of a chunk, and of what a bucket counts, in bytes; one longer document is a chunk alone.
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 2 << 20
+#: Buckets that a chunk or a group of chunks sends to, and chunks of a group.
+FAN = 2048
+#: Packed bytes that a task of a shuffle takes, some.
+TASK_BYTES = 16 << 20
 _END, _START = mix(np.array([0x656E64, 0x7374617274], np.uint64))
 #: Cells of the held-out counts: octaves of the context's count by eighths of an octave of both shares.
 CONTEXTS, SHARES, STEP = 40, 320, 8
@@ -136,7 +144,7 @@ def _partial(buckets: int):
                     for b in np.flatnonzero(np.diff(cut)).tolist():
                         own = keys[cut[b] : cut[b + 1]]
                         step = np.concatenate([own[:1], np.diff(own)])
-                        for column, value in zip(rows, (kind, b, r["chunk"], _pack(step), _pack(counts[cut[b] : cut[b + 1]].astype(np.uint32))), strict=True):
+                        for column, value in zip(rows, (kind, b, r["chunk"], _pack(step), _pack(counts[cut[b] : cut[b + 1]].astype(np.uint64))), strict=True):
                             column.append(value)
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["kind", "bucket", "chunk", "keys", "counts"])
@@ -144,15 +152,20 @@ def _partial(buckets: int):
     return work
 
 
+def _joint(packets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of some packets, the place of each packet's keys among them, their counts, and
+    where each packet begins."""
+    keys = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in packets["keys"]]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, place, np.concatenate([_unpack(x.as_py(), np.uint64) for x in packets["counts"]]), np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+
+
 def _total(group: pa.Table) -> pa.Table:
     """One bucket: the totals of every chunk's keys, and, without a chunk, how many keys and counts there are."""
-    keys = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in group["keys"]]
-    counts = [_unpack(x.as_py(), np.uint32) for x in group["counts"]]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
-    ends = np.cumsum([len(k) for k in keys])
-    answers = [_pack(total[place[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
-    kind, bucket, n = group["kind"][0].as_py(), group["bucket"][0].as_py(), len(keys)
+    distinct, place, counts, cuts = _joint(group)
+    total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
+    answers = [_pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    kind, bucket, n = group["kind"][0].as_py(), group["bucket"][0].as_py(), group.num_rows
     start = np.searchsorted(distinct, _START)
     own = distinct != _START if kind == 0 and start < len(distinct) else np.ones(len(distinct), bool)
     return pa.table({
@@ -160,6 +173,47 @@ def _total(group: pa.Table) -> pa.Table:
         "totals": pa.array([*answers, None], pa.binary()), "n_keys": pa.array([0] * n + [int((total[own] > 0).sum())], pa.int64()), "n_tokens": pa.array([0] * n + [int(total[own].sum())], pa.int64())})
 
 
+def _merged(buckets: int, subs: int):
+    """The packets of a group of chunks to one bucket -> what the group sends to its smaller buckets."""
+
+    def work(key: tuple, packets: pa.Table) -> pa.Table:
+        kind, bucket, group = (k.as_py() for k in key)
+        keys, place, counts, _ = _joint(packets)
+        total = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.uint64)
+        cut = _cut(keys, buckets)
+        own = [b for b in range(bucket * subs, (bucket + 1) * subs) if cut[b] < cut[b + 1]]
+        parts = [(keys[cut[b] : cut[b + 1]], total[cut[b] : cut[b + 1]]) for b in own]
+        return pa.table({
+            "kind": pa.array([kind] * len(own), pa.int32()), "bucket": pa.array(own, pa.int32()), "chunk": pa.array([str(group)] * len(own)),
+            "keys": pa.array([_pack(np.concatenate([k[:1], np.diff(k)])) for k, _ in parts], pa.binary()), "counts": pa.array([_pack(n) for _, n in parts], pa.binary())})
+
+    return work
+
+
+def _passed_on(key: tuple, packets: pa.Table, answers: pa.Table) -> pa.Table:
+    """The totals of a group's keys in one bucket -> the answers to each of its chunks."""
+    _, place, _, cuts = _joint(packets)
+    order = np.argsort(answers["bucket"].to_numpy())
+    total = np.concatenate([_unpack(answers["totals"][int(k)].as_py(), np.uint64) for k in order])
+    return pa.table({"kind": packets["kind"], "bucket": packets["bucket"], "chunk": packets["chunk"], "totals": pa.array([_pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+
+def _totals(sent: DataFrame, chunks: int, buckets: int, subs: int, fan: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(answers: chunk, kind, bucket, totals; sizes: kind, n_keys, n_tokens) from packets to buckets,
+    each of which is cut into subs smaller ones."""
+    answered = "kind int, bucket int, chunk string, totals binary, n_keys long, n_tokens long"
+    if subs == 1:
+        every = durable(sent.repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_total, answered), "lm-totals")
+        return every.filter("chunk is not null").select("chunk", "kind", "bucket", "totals"), every.filter("chunk is null")
+    keys = ["kind", "bucket", "group"]
+    sent = durable(sent.withColumn("group", F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(max(1, ceil(chunks / fan))))), "lm-packets").repartition(tasks, *keys)
+    inner = sent.groupBy(*keys).applyInArrow(_merged(buckets * subs, subs), "kind int, bucket int, chunk string, keys binary, counts binary")
+    every = durable(inner.repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_total, answered), "lm-totals")
+    back = every.filter("chunk is not null").select("kind", "bucket", F.expr(f"bucket div {subs}").cast("int").alias("top"), F.col("chunk").cast("long").alias("group"), "totals").repartition(tasks, "kind", "top", "group")
+    answers = sent.groupBy(*keys).cogroup(back.groupBy("kind", "top", "group")).applyInArrow(_passed_on, "kind int, bucket int, chunk string, totals binary")
+    return durable(answers, "lm-answers").select("chunk", "kind", "bucket", "totals"), every.filter("chunk is null")
+
+
 def _restored(left: pa.Table, right: pa.Table) -> tuple[Chunk, list[np.ndarray]]:
     """A chunk and the totals of its keys, from its row and its answers."""
     r = left.slice(0, 1).to_pylist()[0]
@@ -243,23 +297,32 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     Tokens: A-Z lower case, runs without ASCII white space, then one end. A null text is empty and
     has the end alone. Learns from rows whose crc32(id) mod 7 is not 2; among them, those with 3 give
     the held-out counts. A null id is learned from. Repeated rows count each time; without training
-    rows every token gets the even share. Other columns of df are not read."""
-    small_batches(df.sparkSession)
+    rows every token gets the even share; an empty table gives an empty result. A text of any length
+    is read whole; one over CHUNK_BYTES is a chunk by itself. Scores do not depend on the order or the
+    partitions of the rows, but for the last digits of their sums. Other columns of df are not read,
+    whatever their names."""
+    spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     chunks = durable(rows.mapInArrow(_chunks, CHUNK), "lm-chunks")
     size = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(1, ceil(size / BUCKET_BYTES))
+    needed = max(1, ceil(size / BUCKET_BYTES))
+    subs = ceil(needed / FAN)  # smaller buckets in each of those that a chunk sends to
+    buckets = ceil(needed / subs)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * size / TASK_BYTES))
     sent = chunks.mapInArrow(_partial(buckets), "kind int, bucket int, chunk string, keys binary, counts binary")
-    answers = durable(sent.groupBy("kind", "bucket").applyInArrow(_total, "kind int, bucket int, chunk string, totals binary, n_keys long, n_tokens long"), "lm-totals")
-    n_types, n_all = answers.filter("chunk is null and kind = 0").agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    answers = answers.filter("chunk is not null").select("chunk", "kind", "bucket", "totals")
+    answers, sizes = _totals(sent, chunks.count(), buckets, subs, FAN, tasks)
+    n_types, n_all = sizes.filter("kind = 0").agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
 
-    deleted = chunks.filter("deleted")
-    met = deleted.groupBy("chunk").cogroup(answers.join(F.broadcast(deleted.select("chunk")), "chunk", "left_semi").groupBy("chunk"))
+    deleted, replies = chunks.filter("deleted"), answers.repartition(tasks, "chunk")
+    few = deleted.select("chunk")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    met = deleted.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.join(few, "chunk", "left_semi").repartition(tasks, "chunk").groupBy("chunk"))
     cells = met.applyInArrow(lambda a, b: held_out_cells(a, b, n_all), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells.sort()  # sums in the same order every time
     found = np.array([(r.cell, r.n) for r in cells], np.int64).reshape(-1, 2)  # no more than there are cells
     weights = learn_weights(found[:, 0], found[:, 1], n_types)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: score_chunk(a, b, n_all, n_types, weights), SCORES)
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda a, b: score_chunk(a, b, n_all, n_types, weights), SCORES)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

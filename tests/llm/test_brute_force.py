@@ -207,21 +207,59 @@ def test_block_tables_miss_nothing(spark):
     assert set(rows) == want and len(rows) == len(want)
 
 
-def test_language_model(docs, texts):
-    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+@pytest.fixture(scope="module")
+def plain_scores(texts):
+    """id -> n_tokens, n_known, train_tokens, held_out, base_score, score, from dictionaries of counts."""
     tokens = {i: [*TOKEN.findall(t.translate(LOWER)), "\0end"] for i, t in texts.items()}
-    train = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
-    counts = collections.Counter(w for i in train for w in tokens[i])
-    n, v = sum(counts.values()), len(counts)
-    better = base = 0.0
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i in tokens}
+    train = [i for i in tokens if fold[i] != 2]
+    one = collections.Counter(w for i in train for w in tokens[i])
+    n, v = sum(one.values()), len(one)
+    two = collections.Counter(p for i in train for p in zip(["\0start", *tokens[i]], tokens[i], strict=False))
+    one["\0start"] = len(train)
+    octave = lambda c: min(int(math.log2(c + 1)), lm.CONTEXTS - 1)
+    cell = lambda p: min(max(1 + round(-lm.STEP * math.log2(p)), 1), lm.SHARES - 1) if p > 0 else 0
+    share = lambda c: 2.0 ** ((1 - c) / lm.STEP) if c else 0.0
+    held = collections.Counter()
+    for i in train:
+        if fold[i] == lm.DELETED:
+            pairs = list(zip(["\0start", *tokens[i]], tokens[i], strict=False))
+            own1, own2, as_context = collections.Counter(tokens[i]), collections.Counter(pairs), collections.Counter(a for a, _ in pairs)
+            for a, w in pairs:
+                context = one[a] - as_context[a]
+                held[octave(context), cell((two[a, w] - own2[a, w]) / context if context else 0), cell((one[w] - own1[w]) / (n - len(tokens[i])))] += 1
+    weights = {o: (0.4, 0.4, 0.2) for o in range(lm.CONTEXTS)}
+    for _ in range(60):
+        total = {o: [0.1, 0.5, 0.4] for o in range(lm.CONTEXTS)}
+        for (o, c2, c1), k in held.items():
+            parts = [w * x for w, x in zip(weights[o], (share(c2), share(c1), 1 / (v + 1)), strict=True)]
+            for j in range(3):
+                total[o][j] += k * parts[j] / sum(parts)
+        weights = {o: [x / sum(t) for x in t] for o, t in total.items()}
+    out = {}
     for i, ws in tokens.items():
+        score = 0.0
+        for a, w in zip(["\0start", *ws], ws, strict=False):
+            l2, l1, l0 = weights[octave(one[a])]
+            score += math.log10(l2 * (two[a, w] / one[a] if one[a] else 0) + l1 * one[w] / n + l0 / (v + 1))
+        out[i] = len(ws), sum(one[w] > 0 for w in ws), n, fold[i] == 2, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws), score
+    return out
+
+
+@pytest.mark.parametrize("fan", [2048, 2])
+def test_language_model(docs, plain_scores, monkeypatch, fan):
+    """In one step, and with packets of chunks merged by groups on their way to smaller buckets."""
+    if fan == 2:
+        monkeypatch.setattr(lm, "FAN", fan)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", 60_000)
+    got = {r.doc_id: r for r in lm.score_documents(docs.repartition(6)).collect()}
+    assert set(got) == set(plain_scores)
+    for i, want in plain_scores.items():
         r = got[i]
-        want = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(counts[w] > 0 for w in ws), n, i not in train)
-        assert r.base_score == pytest.approx(want) and r.score < 0
-        if i not in train:
-            better, base = better + r.score, base + r.base_score
-    assert better > base
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == want[:4]
+        assert (r.base_score, r.score) == pytest.approx(want[4:], rel=1e-9)
+    unseen = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
 def test_mixture_weights_climb():
