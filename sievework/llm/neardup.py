@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, spread, table
+from .common import durable, packed, small_batches, spread, table, unpacked
 from .textnum import Words, mix, runs, slices
 
 SHINGLE = 5
@@ -293,8 +293,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
     Words are runs without ASCII white space, A-Z lower case. A text of fewer words than a shingle
     is one shingle; one without words, or null, has none and is linked with nothing: its
-    component is itself. A null id has no component and is not kept. Rows that share an id are one
-    node; each of them gets that node's component. Other columns of df are not read."""
+    component is itself. A text of any length is read whole; an empty table gives an empty result. A null id has no component and is not kept. Rows that share an id are one
+    node; each of them gets that node's component. Other columns of df are not read, whatever their names."""
     small_batches(df.sparkSession)
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = durable(signatures(texts, shingle, halves, per_half), "near-signatures")
@@ -316,6 +316,34 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of df that stay, as they are, when of each group of near-duplicates one document does:
+    the one with the smallest id.
+
+    Rows alike in id and text are one document, of which one row stays: the first by a hash of all
+    columns. Rows of one id with different texts are different documents, and so are rows without an
+    id; such ones are named by 2**62 and up, after all others, by a hash of id and text. Rows without
+    words are linked with nothing and stay, but for repeats of an id. Texts of any length are read
+    whole, an empty table gives an empty one, and columns keep their names and values, whatever they are."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = df.select(packed(df, df.columns).alias("_row"), F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("text")).withColumn("digest", F.xxhash64("text"))
+    held = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("unlike"))
+    again = durable(held.filter("n > 1").select("id", "unlike"), "near-repeated")
+    repeats, nameless = not again.isEmpty(), not df.filter(F.col(f"`{doc_id}`").isNull()).isEmpty()
+    rows = spread(rows, again, ["id"], "left", "digest") if repeats else rows.withColumn("unlike", F.lit(None).cast("boolean"))
+    own_name = F.lit(1 << 62) + F.pmod(F.xxhash64("id", "digest"), F.lit((1 << 62) - 1))
+    rows = rows.withColumn("sid", F.when(F.col("id").isNull() | F.col("unlike"), own_name).otherwise(F.col("id")))
+    near = near_duplicates(rows.select("sid", "text"), "text", "sid", **options)
+    gone = durable(near.filter("not kept").select(F.col("doc_id").alias("sid")).distinct(), "near-gone")
+    rows = spread(rows, gone, ["sid"], "left_anti", "digest")
+    if not repeats and not nameless:
+        return rows.select(*unpacked(df.columns))
+    several = F.col("unlike").isNotNull() | (F.col("id").isNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col(f"_row.`{c}`") for c in df.columns]
+    one = rows.filter(several).groupBy("sid").agg(F.min_by("_row", F.xxhash64(*columns)).alias("_row"))
+    return rows.filter(~several).select("_row").unionByName(one.select("_row")).select(*unpacked(df.columns))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

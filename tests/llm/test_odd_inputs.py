@@ -84,3 +84,13 @@ def test_stages(stage, spark, odd, empty, labels, benchmark, tmp_path):
         out = run(spark, docs, str(tmp_path))
         assert out.columns[: len(docs.columns)] == docs.columns and (len(out.columns) == len(docs.columns)) == (stage != "sharding")
         assert out.count() <= 3 * df.count()
+
+
+def test_one_document_of_a_group_stays(spark):
+    same, tail = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, same, "b"), (5, same, "a"), (5, same, "a"), (7, same, "c"), (None, same, "d"), (None, tail, "e"), (None, tail, "f"), (8, "x " + same, "g"), (9, "only here", "h"), (9, "and there", "i"), (9, same + " y", "j"), (1, None, "k"), (1, "", "l"), (None, "", "m"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sid string").repartition(3)
+    got = [tuple(r) for r in neardup.keep_one(df).collect()]
+    assert sorted((str(i), t) for i, t, _ in got if t) == sorted([("5", same), ("None", tail), ("9", "only here"), ("9", "and there")])
+    assert sum(i == 1 for i, *_ in got) == 1 and sum(i is None and not t for i, t, _ in got) == 2
+    assert sorted(tuple(map(str, r)) for r in neardup.keep_one(df).collect()) == sorted(tuple(map(str, r)) for r in got)
