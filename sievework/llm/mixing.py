@@ -5,7 +5,8 @@ target needs, up to three times. The line is cut into blocks, and the blocks eac
 dealt to the output shards by a binary tree: every node gives half of its blocks to its left
 child, split among the sources by a multivariate hypergeometric draw, so that every shard gets
 what a random deal of all blocks would give it, while the quotas stay exact. A shard then reads its
-own stretch of every source's line, and orders its blocks by a seeded hash.
+own stretch of every source's line, and orders its blocks by a seeded hash. So a document's words go
+to the shards, and to the places in them, that the tree gives the blocks they lie in.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ WEIGHTS = (1, 2, 3)
 #: Blocks are at least so many words, and so large that there are no more than about a million.
 BLOCK_WORDS, MOST_BLOCKS = 512, 1 << 20
 PIECES = "array<struct<pass:int,shard:int,from_word:bigint,to_word:bigint,order_key:bigint>>"
+SHARDS, SEED = 32, 17
+
+
+def _hashed(digits: int, *parts: str) -> str:
+    """SQL for so many hex digits of the parts' md5, as a number: the same in every engine."""
+    return f"cast(conv(substring(md5(concat_ws(':', {', '.join(parts)})), 1, {digits}), 16, 10) as bigint)"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -69,7 +76,7 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     At every node a draw for each source in turn, given what is left of the population and of the
     draws, splits the node's blocks in two halves (the left one is rounded down)."""
     nodes = quotas.select("b", F.lit(0).alias("shard"))
-    u = f"(pmod(xxhash64({seed}, shard, depth, i), 1099511627776L) + 0.5D) / 1099511627776D"
+    u = f"({_hashed(10, str(seed), 'depth', 'shard', 'i')} + 0.5D) / 1099511627776D"
     state = "named_struct('pop', cast({pop} as bigint), 'n', cast({n} as bigint), 'out', cast({out} as array<bigint>))"
     for level in range(depth):
         total = "aggregate(b, 0L, (x, y) -> x + y)"
@@ -80,7 +87,7 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes
 
 
-def mix(df: DataFrame, n_shards: int = 32, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+def mix(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """Every row of df, beside the given columns (all of df's if none are given), with size (words),
     source_size, target, taken and pieces: the stretches of its words that the output shards read,
     in which pass, and where each is put.
@@ -127,40 +134,80 @@ def mix(df: DataFrame, n_shards: int = 32, seed: int = 17, text: str = "text", s
           transform(filter(transform(sequence(0, {n_shards - 1}), i -> named_struct(
               'i', i, 'lo', greatest(p * s + at, if(i = 0, 0L, ends[i - 1])), 'hi', least(p * s + at + size, quota, ends[i]))), x -> x.lo < x.hi),
             x -> named_struct('pass', cast(p as int), 'shard', x.i, 'from_word', x.lo - p * s - at, 'to_word', x.hi - p * s - at,
-              'order_key', xxhash64({seed}, x.i, skey, x.lo div {block})))))""").cast(PIECES)
+              'order_key', {_hashed(15, str(seed), 'x.i', 'skey', f'x.lo div {block}')}))))""").cast(PIECES)
     out = placed.withColumn("pieces", pieces)
     return out.select(*unpacked(keep), "size", F.col("s").alias("source_size"), "target", F.expr("aggregate(pieces, 0L, (x, y) -> x + y.to_word - y.from_word)").alias("taken"), "pieces")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """df's rows as the mix repeats them: whole rows, once for every pass that takes most of their words."""
+    """df's rows as the mix repeats them, shard after shard and each in its order: whole rows, once for
+    every pass that takes most of their words, in the shard and at the place of the longest piece."""
     mixed = mix(df, **options)
-    passes = F.expr("transform(array_distinct(transform(pieces, x -> x.pass)), p -> aggregate(filter(pieces, x -> x.pass = p), 0L, (a, x) -> a + x.to_word - x.from_word))")
-    times = F.size(F.filter(passes, lambda n: 2 * n >= F.col("size")))
+    passes = F.expr("""transform(array_distinct(transform(pieces, x -> x.pass)), p -> transform(array(filter(pieces, x -> x.pass = p)), own -> named_struct(
+        'words', aggregate(own, 0L, (a, x) -> a + x.to_word - x.from_word),
+        'longest', array_max(transform(own, x -> named_struct('n', x.to_word - x.from_word, 'shard', x.shard, 'order_key', x.order_key)))))[0])""")
     keep = carried(mixed, OUTPUTS)
-    return mixed.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*[F.col(f"`{c}`") for c in keep])
+    placed = mixed.withColumn("_copies", F.filter(passes, lambda p: 2 * p["words"] >= F.col("size"))).select(packed(mixed, keep).alias("_row"), F.explode("_copies.longest").alias("_at"))
+    # ranges of places, so that a shard of any size is written by several tasks
+    order = [F.col("_at.shard"), F.col("_at.order_key")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*unpacked(keep))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).drop("pieces")
-
-
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS perm, md5(coalesce(text, '')) AS digest FROM documents),
+    """Beside the contract's columns: n_pieces, and places, pass:shard:from:to:order of each piece."""
+    mixed = mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    said = F.transform("pieces", lambda x: F.concat_ws(":", *[x[c] for c in ("pass", "shard", "from_word", "to_word", "order_key")]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").cast("long").alias("n_pieces"), F.array_join(said, ",").alias("places"))
+
+
+def _oracle() -> str:
+    """The tree is walked source by source: a row a draw, and two rows a node that is done."""
+    depth = int(log2(SHARDS))
+    gammas = lambda k: f"(lgamma({k} + 1) + lgamma(b[i] - {k} + 1) + lgamma(n - {k} + 1) + lgamma(pop - b[i] - n + {k} + 1))"
+    weight = f"exp({gammas('m')} - {gammas('k')})"
+    child = lambda node, b: f"{{'level': level + 1, 'node': {node}, 'i': 1, 'pop': coalesce(list_sum({b}), 0)::BIGINT, 'n': (coalesce(list_sum({b}), 0) // 2)::BIGINT, 'b': {b}, 'lf': []::BIGINT[]}}"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+    md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS perm, md5(coalesce(text, '')) AS digest FROM documents),
 g AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
-r AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0 * s AS cap FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank, 3.0 * s AS cap FROM g),
+v AS (SELECT *, ((rank - 1) % 3 + 1)::DOUBLE AS w FROM r),
 l AS (
-  SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER f, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level FROM r
+  SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER f, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level FROM v
   WINDOW f AS (ORDER BY cap::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 z AS (SELECT level FROM l WHERE level <= cap::DOUBLE / w ORDER BY cap::DOUBLE / w, source ASC NULLS LAST LIMIT 1),
-t AS (SELECT source, s, least(cap::DOUBLE, w * (SELECT level FROM z)) AS target FROM l),
+t AS (SELECT rank, source, s, least(cap::DOUBLE, w * (SELECT level FROM z)) AS target, round(least(cap::DOUBLE, w * (SELECT level FROM z)))::BIGINT AS quota FROM l),
+k AS (SELECT greatest({BLOCK_WORDS}, ceil(sum(size) / {MOST_BLOCKS}))::BIGINT AS block FROM d),
+o AS (SELECT list(ceil(quota / (SELECT block FROM k))::BIGINT ORDER BY rank) AS b FROM t),
+tree(level, node, i, pop, n, b, lf) AS (
+  SELECT 0, 0, 1, list_sum(b)::BIGINT, (list_sum(b) // 2)::BIGINT, b, []::BIGINT[] FROM o
+  UNION ALL
+  SELECT y.level, y.node, y.i, y.pop, y.n, y.b, y.lf FROM (
+    SELECT unnest(CASE WHEN i <= len(b) THEN [{{'level': level, 'node': node, 'i': i + 1, 'pop': (pop - b[i])::BIGINT, 'n': (n - x)::BIGINT, 'b': b, 'lf': list_append(lf, x)}}]
+      ELSE [{child('2 * node', 'lf')}, {child('2 * node + 1', 'list_transform(range(1, len(b) + 1), lambda j: (b[j] - lf[j])::BIGINT)')}] END) AS y
+    FROM (
+      SELECT *, coalesce(ks[list_filter(range(1, len(ks) + 1), lambda j: list_sum(ws[1:j]) >= u * list_sum(ws))[1]], m)::BIGINT AS x FROM (
+        SELECT *, list_transform(ks, lambda k: {weight}) AS ws FROM (
+          SELECT *, list_concat(range(m, least(m + reach, n, b[i]) + 1), list_transform(range(1, m - greatest(m - reach, 0, n + b[i] - pop) + 1), lambda k: m - k)) AS ks,
+            (('0x' || substr(md5('{SEED}:' || level || ':' || node || ':' || (i - 1)), 1, 10))::BIGINT + 0.5) / 1099511627776.0::DOUBLE AS u FROM (
+            SELECT *, least(greatest((n + 1) * (b[i] + 1) // (pop + 2), 0, n + b[i] - pop), n, b[i])::BIGINT AS m,
+              trunc(12 * sqrt(n * 1.0::DOUBLE * b[i] / greatest(pop, 1)) + 12)::BIGINT AS reach FROM tree WHERE level < {depth})))))),
+e AS (
+  SELECT node AS shard, rank, sum(b[rank]) OVER (PARTITION BY rank ORDER BY node) * (SELECT block FROM k) AS hi FROM tree, t WHERE level = {depth}),
+ends AS (SELECT shard, rank, coalesce(lag(hi) OVER (PARTITION BY rank ORDER BY shard), 0)::BIGINT AS lo, hi::BIGINT AS hi FROM e),
 p AS (
-  SELECT d.doc_id, d.size, t.s, t.target, round(t.target)::BIGINT AS quota,
+  SELECT d.rid, d.size, t.rank, coalesce('s' || d.source, 'n') AS skey, t.s, t.target, t.quota,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY perm, digest ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS spot
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, s AS source_size, target,
-  (least(size, greatest(0, quota - spot)) + least(size, greatest(0, quota - spot - s)) + least(size, greatest(0, quota - spot - 2 * s)))::BIGINT AS taken
-FROM p
-"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT rid, skey, pass, shard, pass * s + spot AS origin, greatest(pass * s + spot, lo) AS a, least(pass * s + spot + size, quota, hi) AS z
+  FROM p JOIN ends USING (rank), range(3) g(pass) WHERE greatest(pass * s + spot, lo) < least(pass * s + spot + size, quota, hi)),
+c AS (
+  SELECT rid, sum(z - a) AS taken, count(*) AS n, string_agg(concat_ws(':', pass, shard, a - origin, z - origin,
+    ('0x' || substr(md5(concat_ws(':', {SEED}, shard, skey, a // (SELECT block FROM k))), 1, 15))::BIGINT), ',' ORDER BY pass, shard) AS places FROM x GROUP BY rid)
+SELECT doc_id, d.size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n, 0)::BIGINT AS n_pieces, coalesce(places, '') AS places
+FROM d JOIN p USING (rid) LEFT JOIN c USING (rid)"""
+
+
+ORACLE = _oracle()

@@ -501,6 +501,29 @@ def test_splitting_tree_is_exact_and_fair(spark):
         assert got[k] == pytest.approx(math.comb(12, k) * math.comb(18, 10 - k) / math.comb(30, 10), abs=0.002)
 
 
+def test_mixing_goes_by_the_tree(spark, docs, small, monkeypatch):
+    """Pieces follow the leaves, and another tree gives other rows."""
+    mine = {r.doc_id: r.places for r in mixing.op6_mixing(spark, small).collect()}
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, depth, seed: real(quotas, depth, seed + 1))
+    other = {r.doc_id: r.places for r in mixing.op6_mixing(spark, small).collect()}
+    assert sum(mine[i] != other[i] for i in mine) > len(mine) // 3
+    monkeypatch.undo()
+    order = []
+    for r in mixing.mix(docs).collect():
+        for k in {p["pass"] for p in r.pieces}:
+            own = [p for p in r.pieces if p["pass"] == k]
+            if 2 * sum(p.to_word - p.from_word for p in own) >= r.size:
+                best = max(own, key=lambda p: (p.to_word - p.from_word, p.shard, p.order_key))
+                order.append((best.shard, best.order_key, r.doc_id))
+    got = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    place = [{(s, o) for s, o, i in order if i == x} for x in got]
+    assert sorted(got) == sorted(i for *_, i in order)
+    low = (-1, -1)
+    for options in place:  # a walk through the shards in order meets every copy
+        low = min(x for x in options if x >= low)
+
+
 def test_mix_pieces_are_disjoint_and_meet_quotas(docs):
     out = mixing.mix(docs).cache()
     for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect():
