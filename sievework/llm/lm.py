@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, durable, small_batches, table
-from .textnum import Words, mix
+from .textnum import Words, mix, pack, unpack
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Text of a chunk, and of what a bucket counts, in bytes; one longer document is a chunk alone.
@@ -44,18 +44,6 @@ CONTEXTS, SHARES, STEP = 40, 320, 8
 CHUNK = "chunk string, deleted boolean, ids array<long>, sizes array<int>, body binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers of a narrow range or sorted, by byte planes."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _remainder(doc_id: int | None) -> int:
     """crc32(id as text) mod FOLDS; a null id is in no fold but the training one."""
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
@@ -144,7 +132,7 @@ def _partial(buckets: int):
                     for b in np.flatnonzero(np.diff(cut)).tolist():
                         own = keys[cut[b] : cut[b + 1]]
                         step = np.concatenate([own[:1], np.diff(own)])
-                        for column, value in zip(rows, (kind, b, r["chunk"], _pack(step), _pack(counts[cut[b] : cut[b + 1]].astype(np.uint64))), strict=True):
+                        for column, value in zip(rows, (kind, b, r["chunk"], pack(step), pack(counts[cut[b] : cut[b + 1]].astype(np.uint64))), strict=True):
                             column.append(value)
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["kind", "bucket", "chunk", "keys", "counts"])
@@ -155,16 +143,16 @@ def _partial(buckets: int):
 def _joint(packets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of some packets, the place of each packet's keys among them, their counts, and
     where each packet begins."""
-    keys = [np.cumsum(_unpack(x.as_py(), np.uint64)) for x in packets["keys"]]
+    keys = [np.cumsum(unpack(x.as_py(), np.uint64)) for x in packets["keys"]]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, place, np.concatenate([_unpack(x.as_py(), np.uint64) for x in packets["counts"]]), np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    return distinct, place, np.concatenate([unpack(x.as_py(), np.uint64) for x in packets["counts"]]), np.concatenate([[0], np.cumsum([len(k) for k in keys])])
 
 
 def _total(group: pa.Table) -> pa.Table:
     """One bucket: the totals of every chunk's keys, and, without a chunk, how many keys and counts there are."""
     distinct, place, counts, cuts = _joint(group)
     total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
-    answers = [_pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    answers = [pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     kind, bucket, n = group["kind"][0].as_py(), group["bucket"][0].as_py(), group.num_rows
     start = np.searchsorted(distinct, _START)
     own = distinct != _START if kind == 0 and start < len(distinct) else np.ones(len(distinct), bool)
@@ -185,7 +173,7 @@ def _merged(buckets: int, subs: int):
         parts = [(keys[cut[b] : cut[b + 1]], total[cut[b] : cut[b + 1]]) for b in own]
         return pa.table({
             "kind": pa.array([kind] * len(own), pa.int32()), "bucket": pa.array(own, pa.int32()), "chunk": pa.array([str(group)] * len(own)),
-            "keys": pa.array([_pack(np.concatenate([k[:1], np.diff(k)])) for k, _ in parts], pa.binary()), "counts": pa.array([_pack(n) for _, n in parts], pa.binary())})
+            "keys": pa.array([pack(np.concatenate([k[:1], np.diff(k)])) for k, _ in parts], pa.binary()), "counts": pa.array([pack(n) for _, n in parts], pa.binary())})
 
     return work
 
@@ -194,8 +182,8 @@ def _passed_on(key: tuple, packets: pa.Table, answers: pa.Table) -> pa.Table:
     """The totals of a group's keys in one bucket -> the answers to each of its chunks."""
     _, place, _, cuts = _joint(packets)
     order = np.argsort(answers["bucket"].to_numpy())
-    total = np.concatenate([_unpack(answers["totals"][int(k)].as_py(), np.uint64) for k in order])
-    return pa.table({"kind": packets["kind"], "bucket": packets["bucket"], "chunk": packets["chunk"], "totals": pa.array([_pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+    total = np.concatenate([unpack(answers["totals"][int(k)].as_py(), np.uint64) for k in order])
+    return pa.table({"kind": packets["kind"], "bucket": packets["bucket"], "chunk": packets["chunk"], "totals": pa.array([pack(total[place[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
 def _totals(sent: DataFrame, chunks: int, buckets: int, subs: int, fan: int, tasks: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +207,7 @@ def _restored(left: pa.Table, right: pa.Table) -> tuple[Chunk, list[np.ndarray]]
     r = left.slice(0, 1).to_pylist()[0]
     chunk = Chunk(r["ids"], r["sizes"], r["body"])
     answers = sorted(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True), key=lambda x: x[:2])
-    return chunk, [np.concatenate([_unpack(t, np.uint64) for k, _, t in answers if k == kind]).astype(np.int64) for kind in (0, 1)]
+    return chunk, [np.concatenate([unpack(t, np.uint64) for k, _, t in answers if k == kind]).astype(np.int64) for kind in (0, 1)]
 
 
 def _octave(count: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
@@ -124,3 +125,16 @@ def runs(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
         out = mix(out * _R + np.where(left > k, step, np.uint64(k + 1)))
     begins = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(count)))]).astype(np.int64)
     return out[keep], begins
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of a narrow range or sorted ones' steps, by byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    found = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    planes = found.reshape(width, len(found) // width)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

@@ -76,8 +76,8 @@ def test_decontamination(spark, docs, texts, small):
         for i in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[i : i + 13])].add(str(r.item_id))
     hits = 0
-    for blocks in (10**6, 400):  # in one pass, and in several
-        got = {r.doc_id: r for r in decontamination.find_contamination(docs, bench, block_words=blocks).collect()}
+    for blocks, terms in ((10**6, 10**6), (400, 10**6), (400, 150)):  # in one block, in several, and with several indexes
+        got = {r.doc_id: r for r in decontamination.find_contamination(docs, bench, block_words=blocks, most_terms=terms).collect()}
         for i, t in texts.items():
             w = WORD.findall(t.translate(LOWER))
             hit, items = set(), set()
@@ -95,11 +95,14 @@ def test_decontamination(spark, docs, texts, small):
 
 def test_proximity_matches_are_not_exact_ones(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    near = item.replace("zeta", "zeta extra")
-    df = spark.createDataFrame([(1, item), (2, near), (3, "nothing here")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontamination.find_contamination(df, bench).collect()}
-    assert got == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
+    rows = [(1, item), (2, item.replace("zeta", "zeta extra")), (3, "nothing here"), (4, "beta alpha " + item[11:]), (5, "one x two one two"), (6, "nu mu x"), (7, "alpha of one two y two")]
+    items = [(1, item), (2, "one two"), (3, "mu nu")]
+    got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (2, 0), 2: (1, 1), 3: (0, 0), 4: (1, 1), 5: (1, 0), 6: (0, 1), 7: (1, 0)}
+    c = duckdb.connect()
+    for name, table, key in (("documents", rows, "doc_id"), ("benchmark", items, "item_id")):
+        c.register(name, pa.table({key: [r[0] for r in table], "text": [r[1] for r in table]}))
+    assert {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, n_items, n_near_items FROM ({decontamination.ORACLE})").fetchall()} == got
 
 
 def test_near_duplicates_in_large_families(spark):
@@ -272,7 +275,7 @@ def test_mixture_weights_climb():
 
 def test_packing_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
-    assert (np.cumsum(lm._unpack(lm._pack(np.concatenate([x[:1], np.diff(x)])), np.uint64)) == x).all()
+    assert (np.cumsum(textnum.unpack(textnum.pack(np.concatenate([x[:1], np.diff(x)])), np.uint64)) == x).all()
 
 
 def test_toxicity_on_held_out_rows(spark):
