@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import carried, durable, packed, small_batches, spread, table, unpacked
-from .textnum import Words, pack, slices, unpack
+from .textnum import Words, pack, slices, unpack, word_counts
 
 WINDOW = 13
 #: Terms of a window whose lists are intersected.
@@ -33,8 +33,6 @@ SLACK = 4
 #: Words of benchmark text sought at a time (a block's tables take some 100 bytes a word; an item is
 #: never cut), and terms of an index (8 bytes each in every task).
 BLOCK_WORDS, MOST_TERMS = 250_000, 2_000_000
-#: Words, in texts as they are.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words_of(texts: list[str]) -> Words:
@@ -291,7 +289,15 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     none = F.array().cast("array<string>")
     found = durable(found.select(
         F.col("key").alias("_key"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), F.size("near").cast("long").alias("n_near_items")), "benchmark-matches")
-    rows = df.select(packed(df, keep).alias("_row"), F.unhex(F.md5(body.cast("binary"))).alias("_key"), F.regexp_count(body, F.lit(ANY_CASE)).cast("long").alias("_words"))
+    rows = df.select(body.alias("_text"), packed(df, keep).alias("_row"), F.unhex(F.md5(body.cast("binary"))).alias("_key"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, body, offsets in slices(batch.column(0)):
+                own = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(word_counts(body, offsets, "word"), pa.int64())], ["_row", "_key", "_words"])
+
+    rows = rows.mapInArrow(count, rows.drop("_text").schema.add("_words", "long"))
     hit, zero = F.coalesce("n_hit", F.lit(0).cast("long")), F.lit(0).cast("long")
     return spread(rows, found, ["_key"], "left", "_row").select(
         *unpacked(keep), F.col("_words").alias("n_words"), hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),

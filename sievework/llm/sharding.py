@@ -1,10 +1,10 @@
 """Op 10, sampled splitters: balanced shards over a total order of keys.
 
 Records are ordered by (md5 of the text, md5 of the id, id). A deterministic, size-weighted
-sample of those keys gives quantile boundaries; records fall into the ranges between them, and a
-range that turns out overfull is cut again by boundaries sampled inside it. Sums over the few
-ranges and running sums inside each one give every record its place on the line of all bytes, and
-the line is cut into equal shards. Copies of one text lie side by side and, being many, are cut
+sample of those keys gives quantile boundaries; records fall into the ranges between them, and
+ranges that turn out overfull are cut again by boundaries sampled inside them. Sums over the ranges
+and running sums inside each one give every record its place on the line of all bytes, and the line
+is cut into equal shards. Copies of one text lie side by side and, being many, are cut
 between shards like anything else, because the id is part of the key.
 """
 
@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import carried, durable, packed, table, unpacked
+from .common import carried, durable, packed, spread, table, unpacked
 
 OUTPUTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 ROW_OVERHEAD = 16
+#: Keys of a range, which one task puts in order.
+RANGE_KEYS = 1_000_000
 
 
 def rank_in(bounds: list[str], key: Column) -> Column:
@@ -45,14 +47,54 @@ def _splitters(rows: DataFrame, part: list[str], pieces: Column, weight_step: Co
     return drawn.withColumn("q", quantile).groupBy(*part, "q").agg(F.min("key").alias("bound")).filter("q > 0")
 
 
+def _bounds(keys: DataFrame, count: int, total: int, n_ranges: int, samples: int) -> list[str]:
+    """Splitters of key, size, n and bytes (their product): n_ranges quantiles, and more inside every
+    range that holds over twice its share of bytes or keys, until none with several keys does."""
+    ideal = total / n_ranges
+    sized = keys.select("key", F.col("bytes").alias("size"))
+    bounds = sorted(r.bound for r in _splitters(sized, [], F.lit(n_ranges), F.lit(ideal / samples)).select("bound").collect())
+    while True:
+        placed = sized.withColumn("rng", rank_in(bounds, F.col("key")))
+        fill = F.greatest(F.col("bytes") / ideal, F.col("n") * (n_ranges / count))
+        full = {r.rng: r for r in placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("fill", fill).filter("fill > 2 and n > 1").collect()}
+        if not full:
+            return bounds
+        of = lambda value: F.element_at(F.create_map(*[F.lit(x) for k, r in full.items() for x in (k, value(r))]), F.col("rng"))
+        weight = F.when(of(lambda r: r.n / r.fill * n_ranges > count * 0.999), F.lit(1.0)).otherwise(F.col("size"))
+        inner = placed.filter(F.col("rng").isin(list(full))).withColumn("size", F.greatest(F.round(weight).cast("long"), F.lit(1).cast("long")))
+        step = of(lambda r: float((r.n if r.n / r.fill * n_ranges > count * 0.999 else r.bytes) / (r.fill * samples)))
+        more = {r.bound for r in _splitters(inner, ["rng"], F.ceil(of(lambda r: float(r.fill))), step).select("bound").collect()} - set(bounds)
+        if not more:
+            return bounds
+        bounds = sorted({*bounds, *more})
+
+
+def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with a key, and i, from 0, among those with the same one.
+
+    Keys that several rows have are numbered by input partition first, so that not even a key that
+    most rows have is put in order by one task; numbers are written before they are used."""
+    several = keys.filter("n > 1").select("key")
+    if several.isEmpty():
+        return rows.withColumn("i", F.lit(0).cast("long"))
+    several = durable(several, "shard-repeated")
+    held = durable(spread(rows, several, ["key"], "left_semi", "_row").withColumn("m", F.monotonically_increasing_id()), "shard-repeats").withColumn("p", F.shiftright("m", 33))
+    before = W.partitionBy("key").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    shifts = held.groupBy("key", "p").agg(F.count("*").alias("c")).select("key", "p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
+    own = F.row_number().over(W.partitionBy("key", "p").orderBy("m")) - 1
+    many = held.withColumn("own", own).join(shifts, ["key", "p"]).withColumn("i", F.col("own") + F.col("b")).select(*rows.columns, "i")
+    return spread(rows, several, ["key"], "left_anti", "_row").withColumn("i", F.lit(0).cast("long")).unionByName(many)
+
+
 def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str = "doc_id", ranges_per_shard: int = 8, samples_per_range: int = 32, columns: list[str] | None = None) -> DataFrame:
     """Adds size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) to every row, beside
     the given columns (all of df's if none are given).
 
     A null text has size 16 and the checksum of an empty one; a null id sorts as the text 'null';
-    rows alike in id and text take consecutive places. Input columns named like an output are
-    replaced. An empty table gives an empty result. A row larger than a shard's share makes its
-    shard that much larger, as rows are never cut."""
+    rows alike in id and text take consecutive places, in any order. Input columns named like an
+    output are replaced. An empty table gives an empty result. A row larger than a shard's share makes
+    its shard that much larger, as rows are never cut. Keys are put in order without their rows, in as
+    many ranges as they need, and places are joined to the rows last."""
     keep = [c for c in carried(df, OUTPUTS) if columns is None or c in columns]
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
@@ -61,37 +103,30 @@ def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id:
         F.crc32(body.cast("binary")).alias("crc"),
         F.concat_ws("-", F.md5(body.cast("binary")), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary"))).alias("key"),
     )
-    narrow = durable(rows.select("key", "size"), "shard-keys")
-    total, count = narrow.agg(F.sum("size"), F.count("*")).first()
-    total, n_ranges = total or 1, n_shards * ranges_per_shard
-    ideal = total / n_ranges
+    keys = durable(rows.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")), "shard-keys")
+    total, count = keys.agg(F.sum("bytes"), F.count("*")).first()
+    total, count = total or 1, count or 1
+    bounds = _bounds(keys, count, total, max(n_shards * ranges_per_shard, -(-count // RANGE_KEYS)), samples_per_range)
 
-    # ranges_per_shard * n_shards bounds at most: a parameter, whatever the input holds
-    first = sorted(r.bound for r in _splitters(narrow, [], F.lit(n_ranges), F.lit(ideal / samples_per_range)).select("bound").collect())
-    placed = narrow.withColumn("rng", rank_in(first, F.col("key")))
-    full = {r.rng: r.bytes for r in placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > 2 * ideal) & (F.col("n") > 1)).collect()}
-    bounds = first
-    if full:
-        parts = F.create_map(*[F.lit(x) for k, v in full.items() for x in (k, float(-(-v // int(ideal + 1))))])
-        cut = _splitters(placed.filter(F.col("rng").isin(list(full))), ["rng"], F.element_at(parts, F.col("rng")), F.lit(ideal / samples_per_range))
-        bounds = sorted({*first, *(r.bound for r in cut.select("bound").collect())})
-
-    ranged = durable(rows.withColumn("rng", rank_in(bounds, F.col("key"))), "shard-rows")
+    ranged = keys.withColumn("rng", rank_in(bounds, F.col("key")))
     before = W.orderBy("rng").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    offsets = ranged.groupBy("rng").agg(F.sum("size").alias("b"), F.count("*").alias("n")).select(
-        F.col("rng").alias("r"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    offsets = ranged.groupBy("rng").agg(F.sum("bytes").alias("b"), F.sum("n").alias("c")).select(
+        "rng", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("n0"))
     inside = W.partitionBy("rng").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    begun = F.col("b0") + F.sum("size").over(inside) - F.col("size")
-    place = ranged.join(F.broadcast(offsets), F.col("rng") == F.col("r"))  # one row a range: bounded by the parameters
-    place = place.withColumn("begun", begun).withColumn("place", F.col("n0") + F.row_number().over(W.partitionBy("rng").orderBy("key")) - 1)
-    # the shard that holds the middle of the record, in whole numbers
-    place = place.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"((2 * begun + size) * {n_shards}) div (2L * {total})").cast("int")))
-    # a shard begins at its first record in its first range; only ranges and shards are summed
-    starts = durable(place.select("shard", "place").groupBy("shard").agg(F.min("place").alias("p0")), "shard-starts").select(F.col("shard").alias("s"), "p0")
-    out = place.join(F.broadcast(starts), F.col("shard") == F.col("s"))  # n_shards rows
+    places = ranged.withColumn("begun", F.sum("bytes").over(inside) - F.col("bytes")).withColumn("place", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(offsets), "rng")
+    places = durable(places.select("key", "size", "n", (F.col("begun") + F.col("b0")).alias("begun"), (F.col("place") + F.col("n0")).alias("place")), "shard-places")
+    # the shard that holds the middle of a record, in whole numbers
+    shard = lambda begun: F.least(F.lit(n_shards - 1), F.expr(f"((2 * ({begun}) + size) * {n_shards}) div (2L * {total})").cast("int"))
+    # where each shard begins: in a key that several rows have, at the first of them that lies in it
+    held = places.withColumn("s", F.explode(F.sequence(shard("begun"), shard("begun + (n - 1) * size"))))
+    i = F.expr(f"greatest(0L, (2L * {total} * s - {n_shards}L * (2 * begun + size) + 2L * size * {n_shards} - 1) div (2L * size * {n_shards}))")
+    starts = durable(held.groupBy("s").agg(F.min(F.col("place") + i).alias("p0")), "shard-starts")
+
+    out = _numbered(rows, keys).join(places.drop("size", "n"), "key")
+    out = out.withColumn("shard", shard("begun + i * size")).join(F.broadcast(starts), F.col("shard") == F.col("s"))  # n_shards rows
     return out.select(
         *unpacked(keep), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("place") - F.col("p0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        (F.col("place") + F.col("i") - F.col("p0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,19 +71,28 @@ def _polynomials(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return (sums[ends] - sums[starts]) % p * down[starts] % p
 
 
+def _bounds(body: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in lower-case bytes."""
+    inside = KINDS[kind][body]
+    cut = np.zeros(len(body) + 1, bool)
+    cut[offsets] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(body) else inside
+    after = np.concatenate([inside[1:], [False]]) if len(body) else inside
+    return np.flatnonzero(inside & (~before | cut[:-1])), np.flatnonzero(inside & (~after | cut[1:])) + 1
+
+
+def word_counts(body: np.ndarray, offsets: np.ndarray, kind: str) -> np.ndarray:
+    """How many words each text has."""
+    return np.diff(np.searchsorted(_bounds(_LOWER[body], offsets, kind)[0], offsets))
+
+
 class Words:
     """hashes: of all words of all texts in order; first: where each text's words begin, and the
     end; starts, ends: the words' bytes within the slice."""
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray, kind: str) -> None:
         body = _LOWER[body]
-        inside = KINDS[kind][body]
-        cut = np.zeros(len(body) + 1, bool)
-        cut[offsets] = True
-        before = np.concatenate([[False], inside[:-1]]) if len(body) else inside
-        starts = np.flatnonzero(inside & (~before | cut[:-1]))
-        after = np.concatenate([inside[1:], [False]]) if len(body) else inside
-        ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
+        starts, ends = _bounds(body, offsets, kind)
         low, high = (_polynomials(body, starts, ends, x) for x in _POWERS)
         self.hashes = mix(mix(high << np.uint64(32) | low) + (ends - starts).astype(np.uint64))
         self.first = np.searchsorted(starts, offsets)

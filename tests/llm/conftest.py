@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 
@@ -37,3 +38,9 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(i, 1, int(i % 2)) for i in range(3, 9)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="session")
+def larger(small):
+    """The next but one of the folders beside the small tables: enough labels to hold some out."""
+    return str(Path(small).parent / "sf0.1")

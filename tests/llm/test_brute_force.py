@@ -278,9 +278,8 @@ def test_packing_round_trip():
     assert (np.cumsum(textnum.unpack(textnum.pack(np.concatenate([x[:1], np.diff(x)])), np.uint64)) == x).all()
 
 
-def test_toxicity_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+def test_toxicity_on_held_out_rows(spark, larger):
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
     model, share = toxicity.learn(docs, labels)
     rows = docs.join(labels, "doc_id").filter(toxicity.fold("doc_id", toxicity.FOLDS) == 0)
     out = toxicity.score_toxicity(rows, model, share).select("toxic", "predicted").toPandas()
