@@ -10,6 +10,8 @@ between shards like anything else, because the id is part of the key.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,18 +57,22 @@ def _bounds(keys: DataFrame, count: int, total: int, n_ranges: int, samples: int
     bounds = sorted(r.bound for r in _splitters(sized, [], F.lit(n_ranges), F.lit(ideal / samples)).select("bound").collect())
     while True:
         placed = sized.withColumn("rng", rank_in(bounds, F.col("key")))
-        fill = F.greatest(F.col("bytes") / ideal, F.col("n") * (n_ranges / count))
-        full = {r.rng: r for r in placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("fill", fill).filter("fill > 2 and n > 1").collect()}
+        held = placed.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("by_bytes", F.col("bytes") / ideal).withColumn("by_keys", F.col("n") * (n_ranges / count))
+        full = held.filter("n > 1 and greatest(by_bytes, by_keys) > 2").collect()  # fewer than there are ranges
         if not full:
             return bounds
-        of = lambda value: F.element_at(F.create_map(*[F.lit(x) for k, r in full.items() for x in (k, value(r))]), F.col("rng"))
-        weight = F.when(of(lambda r: r.n / r.fill * n_ranges > count * 0.999), F.lit(1.0)).otherwise(F.col("size"))
-        inner = placed.filter(F.col("rng").isin(list(full))).withColumn("size", F.greatest(F.round(weight).cast("long"), F.lit(1).cast("long")))
-        step = of(lambda r: float((r.n if r.n / r.fill * n_ranges > count * 0.999 else r.bytes) / (r.fill * samples)))
-        more = {r.bound for r in _splitters(inner, ["rng"], F.ceil(of(lambda r: float(r.fill))), step).select("bound").collect()} - set(bounds)
-        if not more:
+        of = lambda value: F.element_at(F.create_map(*[F.lit(x) for r in full for x in (r.rng, value(r))]), F.col("rng"))
+        # a range is cut by what it has too much of
+        crowded = of(lambda r: r.by_keys > r.by_bytes)
+        pieces = of(lambda r: float(ceil(max(r.by_keys, r.by_bytes))))
+        steps = {r.rng: (r.n if r.by_keys > r.by_bytes else r.bytes) / (max(r.by_keys, r.by_bytes) * samples) for r in full}
+        step = of(lambda r: steps[r.rng])
+        inner = placed.filter(F.col("rng").isin([r.rng for r in full])).withColumn("size", F.when(crowded, F.lit(1).cast("long")).otherwise(F.col("size")))
+        more = {r.bound for r in _splitters(inner, ["rng"], pieces, step).select("bound").collect()} - set(bounds)
+        if not more and max(steps.values()) <= 1:  # every key has been drawn
             return bounds
-        bounds = sorted({*bounds, *more})
+        # where a few keys outweigh all others, only a finer sample meets those
+        bounds, samples = sorted({*bounds, *more}), samples if more else 8 * samples
 
 
 def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:

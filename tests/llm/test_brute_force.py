@@ -12,6 +12,7 @@ from itertools import accumulate
 
 import duckdb
 import numpy as np
+import plain
 import pyarrow as pa
 import pytest
 import xxhash
@@ -552,6 +553,18 @@ def test_shards_split_hot_copies(spark):
         assert (r.lo, r.hi, r.d) == (0, r.n - 1, r.n)
 
 
+def test_overfull_ranges_are_cut_until_none_is_left(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_KEYS", 40)
+    rows = [(i, f"text {i} " * (400 if i % 97 == 0 else 1)) for i in range(2000)] + [(5000, "x" * 300_000)]
+    keys = spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(), len(t) + 16, 1, len(t) + 16) for _, t in rows], "key string, size long, n long, bytes long")
+    total = sum(len(t) + 16 for _, t in rows)
+    bounds = sharding._bounds(keys, len(rows), total, 64, 2)  # samples so few that ranges turn out overfull
+    held = keys.withColumn("rng", sharding.rank_in(bounds, F.col("key"))).groupBy("rng").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()
+    assert bounds == sorted(set(bounds)) and all(r.n == 1 or (r.b <= 2 * total / 64 and r.n <= 2 * len(rows) / 64) for r in held)
+    got = sorted((r.shard, r.slot, r.doc_id) for r in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4, ranges_per_shard=2).collect())
+    assert got == sorted((shard, slot, i) for i, _, _, shard, slot in plain.sharded(rows, 4))
+
+
 def test_licence_text_and_notices(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
     df = spark.createDataFrame([(1, mit), (2, "x MIT License y Apache license, MIT license"), (3, "Permission is granted to any person"), (4, "under CC BY-NC 4.0.")], "doc_id long, text string")
