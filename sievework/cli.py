@@ -1,13 +1,12 @@
-"""Processes of the grading pipeline by name, from photos to a deployed model."""
+"""The grading pipeline from the command line: one subcommand a process, from photos to a model."""
 
 from __future__ import annotations
 
 import argparse
-import subprocess
 import sys
 import time
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,186 +18,199 @@ from .operators.folds import with_folds
 from .plans import training
 from .schema import ID, MODELS, ORIGINAL, TRANSFORMS, Settings
 from .sources.artifact import save_artifact
-from .sources.images import read_images, with_images, write_masks
+from .sources.images import read_images, require_images, with_images, write_masks
 from .sources.manifest import exclude, load_exclusions, load_manifest, read_table, write_table
 from .sources.settings import load_settings, read_report, write_report
 
-PROCESSES = {
-    "mask": "masks of all photos, as pictures and as shares of the frame",
-    "features": "photo list and photos to a feature table",
-    "folds": "outlier removal, folds",
-    "train": "nested cross-validation, selection, pass marks",
-    "quick-train": "the same with three trials a model",
-    "deploy": "the selected model on all data, saved, with its importances",
-    "lighting": "whether the background alone gives the class away",
-    "ablation": "each feature family alone against all",
-}
-PIPELINE = ("features", "folds", "train", "deploy")
-#: Processes of the pipeline that take further arguments.
-WITH_ARGUMENTS = ("train", "deploy")
-QUICK = ("--n-trials", "3")
-
-
-def _photos(spark: SparkSession, a: argparse.Namespace, s: Settings):
-    manifest, _ = exclude(assert_clean(load_manifest(spark, a.csv)), load_exclusions(spark, a.exclusions) if a.exclusions else None)
-    kept, dropped = sampling.balance(manifest, s.min_grade_ratio, s.balance_seed)
-    return kept, dropped
-
-
-def _images(spark: SparkSession, rows, a: argparse.Namespace):
-    root = a.csv.rpartition("/")[0] or "."
-    return with_images(rows, read_images(spark, f"{root}/{a.photos}"), root)
-
-
-def mask(spark, a, s):
-    manifest = load_manifest(spark, a.csv)
-    rows = manifest.orderBy(ID).limit(a.limit) if a.limit else manifest
-    write_table(write_masks(_images(spark, rows, a), f"{a.out}/masks", s), f"{a.out}/mask_summary")
-    found = read_table(spark, f"{a.out}/mask_summary")
+
+@dataclass(frozen=True)
+class Run:
+    """What a process works with."""
+
+    spark: SparkSession
+    given: argparse.Namespace
+    settings: Settings
+
+    def at(self, name: str) -> str:
+        return f"{self.given.out}/{name}"
+
+    def table(self, name: str):
+        return read_table(self.spark, self.at(name))
+
+    def write(self, df, name: str, **how) -> None:
+        write_table(df, self.at(name), **how)
+
+    def report(self, content: dict, name: str) -> None:
+        write_report(content, self.at(f"results/{name}.json"))
+
+    def images(self, rows):
+        """rows with their photos, all of which must be there."""
+        root = self.given.csv.rpartition("/")[0] or "."
+        return require_images(with_images(rows, read_images(self.spark, f"{root}/{self.given.photos}"), root))
+
+    def balanced(self):
+        """(photos kept, batches dropped) of the checked list."""
+        g, s = self.given, self.settings
+        manifest, _ = exclude(assert_clean(load_manifest(self.spark, g.csv)), load_exclusions(self.spark, g.exclusions) if g.exclusions else None)
+        return sampling.balance(manifest, s.min_grade_ratio, s.balance_seed)
+
+    @property
+    def trials(self) -> int:
+        return self.given.n_trials or self.settings.n_trials
+
+
+def mask(run: Run) -> None:
+    """masks of all photos, as pictures and as shares of the frame"""
+    manifest = load_manifest(run.spark, run.given.csv)
+    rows = manifest.orderBy(ID).limit(run.given.limit) if run.given.limit else manifest
+    found = write_masks(run.images(rows), run.at("masks"), run.settings, run.given.preview)
+    run.write(found, "mask_summary")
+    found = run.table("mask_summary")
     found.agg(F.min("mask_fraction"), F.median("mask_fraction"), F.max("mask_fraction")).show()
     found.filter("mask_fraction < 0.05 or mask_fraction > 0.5").orderBy(ID).show(50)
 
 
-def extract(spark, a, s):
-    rows, dropped = _photos(spark, a, s)
-    write_table(dropped, f"{a.out}/balance_dropped.csv", csv=True)
-    every = features.feature_rows(_images(spark, rows, a), s, (ORIGINAL,) if a.no_augment else TRANSFORMS)
-    write_table(every, f"{a.out}/feature_rows")
-    every = read_table(spark, f"{a.out}/feature_rows")
-    write_table(every.filter("error is null").drop("error"), f"{a.out}/features")
+def extract(run: Run) -> None:
+    """photo list and photos to a feature table"""
+    rows, dropped = run.balanced()
+    run.write(dropped, "balance_dropped.csv", csv=True)
+    run.write(features.feature_rows(run.images(rows), run.settings, (ORIGINAL,) if run.given.no_augment else TRANSFORMS), "feature_rows")
+    every = run.table("feature_rows")
+    run.write(every.filter("error is null").drop("error"), "features")
     every.filter("error is not null").select(ID, "error").show(50, truncate=False)
 
 
-def folds(spark, a, s):
-    table = read_table(spark, f"{a.out}/features")
-    kept, flagged = outliers.remove_outlier_photos(table, s)
+def folds(run: Run) -> None:
+    """outlier removal, folds"""
+    kept, flagged = outliers.remove_outlier_photos(run.table("features"), run.settings)
     outliers.most_flagged(flagged).show()
-    write_table(kept, f"{a.out}/features_clean")
-    write_table(with_folds(read_table(spark, f"{a.out}/features_clean"), s).filter(F.col("augment") == ORIGINAL).select(ID, "batch_id", "class", "fold").orderBy("fold", ID), f"{a.out}/folds")
+    run.write(kept, "features_clean")
+    dealt = with_folds(run.table("features_clean"), run.settings).filter(F.col("augment") == ORIGINAL)
+    run.write(dealt.select(ID, "batch_id", "class", "fold").orderBy("fold", ID), "folds")
 
 
-def train(spark, a, s):
-    found = training.cross_validate(read_table(spark, f"{a.out}/features_clean"), s, tuple(a.models), a.n_trials or s.n_trials)
+def train(run: Run) -> None:
+    """nested cross-validation, selection, pass marks"""
+    found = training.cross_validate(run.table("features_clean"), run.settings, tuple(run.given.models), run.trials)
     for name in ("scores", "params", "predictions"):
-        write_table(getattr(found, name), f"{a.out}/results/{name}")
-    scores, preds = (read_table(spark, f"{a.out}/results/{n}") for n in ("scores", "predictions"))
+        run.write(getattr(found, name), f"results/{name}")
+    scores, preds = run.table("results/scores"), run.table("results/predictions")
     metrics.score_summary(scores).orderBy("model").show()
-    report = {}
-    for name in a.models:
-        own = preds.filter(F.col("model") == name)
-        labels, matrix = metrics.ordered_matrix(metrics.confusion_cells(own))
-        report[name] = {"labels": labels, "confusion_matrix": matrix, "accuracy": metrics.accuracy(own).first()[0], "macro_f1": metrics.macro_f1(own).first()[0], "per_class": {r["class"]: {"precision": r.precision, "recall": r.recall, "support": r.support} for r in metrics.class_metrics(own).collect()}}
-    write_report(report, f"{a.out}/results/metrics.json")
+    best: dict[str, dict] = {}
+    for r in run.table("results/params").orderBy("model", "fold").collect():  # a row a model and fold
+        best.setdefault(r.model, {})[str(r.fold)] = dict(r.params)
+    run.report(best, "best_params")
+    run.report({name: _measures(preds.filter(F.col("model") == name)) for name in run.given.models}, "metrics")
     selected = metrics.select_model(scores)
-    write_report({"selected": selected}, f"{a.out}/results/selection.json")
-    marks = metrics.pass_marks(preds, scores, selected, s.marks)
-    write_report({"selected": selected, "checks": [r.asDict() for r in marks.collect()], "all_passed": metrics.all_passed(marks).first()[0]}, f"{a.out}/results/pass_marks.json")
+    run.report({"selected": selected}, "selection")
+    marks = metrics.pass_marks(preds, scores, selected, run.settings.marks)
+    run.report({"selected": selected, "checks": [r.asDict() for r in marks.collect()], "all_passed": metrics.all_passed(marks).first()[0]}, "pass_marks")
+
+
+def _measures(own) -> dict:
+    labels, matrix = metrics.ordered_matrix(metrics.confusion_cells(own))
+    per_class = {r["class"]: {"precision": r.precision, "recall": r.recall, "support": r.support} for r in metrics.class_metrics(own).collect()}
+    return {"labels": labels, "confusion_matrix": matrix, "accuracy": metrics.accuracy(own).first()[0], "macro_f1": metrics.macro_f1(own).first()[0], "per_class": per_class}
 
 
-def deploy(spark, a, s):
-    selected = read_report(f"{a.out}/results/selection.json")["selected"]
-    table = read_table(spark, f"{a.out}/features_clean")
-    model, params = training.fit_final(table, s, selected, a.n_trials or s.n_trials)
-    save_artifact(model, s, f"{a.out}/model", params, {"date": time.strftime("%Y-%m-%d")})
+def quick_train(run: Run) -> None:
+    """the same with three trials a model, unless told otherwise"""
+    run.given.n_trials = run.given.n_trials or 3
+    train(run)
+
+
+def deploy(run: Run) -> None:
+    """the selected model on all data, saved, with its importances"""
+    selected, table = read_report(run.at("results/selection.json"))["selected"], run.table("features_clean")
+    model, params = training.fit_final(table, run.settings, selected, run.trials)
+    save_artifact(model, run.settings, run.at("model"), params, {"date": time.strftime("%Y-%m-%d")})
     values = explain.shapley_values(model, training.originals(table))
     shares = metrics.family_shares(explain.importance_by_family(values), []).orderBy(F.desc("share"))
-    write_report({r.family: r.value for r in shares.collect()}, f"{a.out}/results/shap_by_family.json")
-
-
-def lighting(spark, a, s):
-    rows, _ = _photos(spark, a, s)
-    photos = _images(spark, rows, a)
-    report = {}
-    for name, reference in (("raw", None), ("normalized", s.reference_grey)):
-        table = features.paper_table(photos, reference)
-        write_table(table, f"{a.out}/paper_{name}")
-        report[name] = training.paper_accuracy(read_table(spark, f"{a.out}/paper_{name}"), s).first().asDict()
-    write_report(report, f"{a.out}/results/lighting_check.json")
-
-
-def ablation(spark, a, s):
-    names = tuple(a.models if a.models != list(MODELS) else [read_report(f"{a.out}/results/selection.json")["selected"]])
-    rows, report = training.ablation(read_table(spark, f"{a.out}/features_clean"), read_table(spark, f"{a.out}/results/scores"), s, names, a.n_trials or s.n_trials)
-    write_table(rows, f"{a.out}/results/ablation_scores")
-    write_report({r.model: r.asDict() for r in report.collect()}, f"{a.out}/results/ablation.json")
-
-
-RUN: dict[str, Callable] = {"mask": mask, "features": extract, "folds": folds, "train": train, "quick-train": train, "deploy": deploy, "lighting": lighting, "ablation": ablation}
-
-
-def arguments(argv: list[str]) -> argparse.Namespace:
-    p = argparse.ArgumentParser(prog="sievework")
-    p.add_argument("--config", help="settings as YAML")
-    p.add_argument("--csv", default="dataset/photos.csv", help="photo list")
-    p.add_argument("--photos", default="photos", help="folder of photos beside the list")
-    p.add_argument("--exclusions", help="CSV of photo ids to leave out")
-    p.add_argument("--out", default="data")
-    p.add_argument("--models", nargs="+", default=list(MODELS), choices=MODELS)
-    p.add_argument("--n-trials", type=int)
-    p.add_argument("--limit", type=int)
-    p.add_argument("--no-augment", action="store_true")
-    return p.parse_args(argv)
-
-
-def run_process(name: str, extra: list[str], call: Callable[[list[str]], int] = subprocess.call) -> int:
-    """Runs one process on its own and says how long it took; its exit code."""
-    began = time.time()
-    print(f"== {name}: {PROCESSES[name]}", flush=True)
-    code = call([sys.executable, "-m", "sievework.cli", "--step", name, *(QUICK if name == "quick-train" else ()), *extra])
-    print(f"== {name}: {'done' if code == 0 else f'failed with code {code}'} after {time.time() - began:.0f} s", flush=True)
-    return code
-
-
-def run_all(extra: list[str], run: Callable[[str, list[str]], int] = run_process) -> int:
-    """The pipeline up to the first failure."""
-    for name in PIPELINE:
-        if code := run(name, extra if name in WITH_ARGUMENTS else []):
-            print(f"== stopped at {name}")
-            return code
+    run.report({r.family: r.value for r in shares.collect()}, "shap_by_family")
+
+
+def lighting(run: Run) -> None:
+    """whether the background alone gives the class away"""
+    photos, report = run.images(run.balanced()[0]), {}
+    for name, reference in (("raw", None), ("normalized", run.settings.reference_grey)):
+        run.write(features.paper_table(photos, reference), f"paper_{name}")
+        report[name] = training.paper_accuracy(run.table(f"paper_{name}"), run.settings).first().asDict()
+    run.report(report, "lighting_check")
+
+
+def ablation(run: Run) -> None:
+    """each feature family alone against all"""
+    all_models = run.given.models == list(MODELS)
+    names = (read_report(run.at("results/selection.json"))["selected"],) if all_models else tuple(run.given.models)
+    rows, report = training.ablation(run.table("features_clean"), run.table("results/scores"), run.settings, names, run.trials)
+    run.write(rows, "results/ablation_scores")
+    run.report({r.model: r.asDict() for r in report.collect()}, "ablation")
+
+
+PROCESSES: dict[str, Callable[[Run], None]] = {"mask": mask, "features": extract, "folds": folds, "train": train, "quick-train": quick_train, "deploy": deploy, "lighting": lighting, "ablation": ablation}
+#: What "all" goes through.
+ALL = ("features", "folds", "train", "deploy")
+
+
+def parser() -> argparse.ArgumentParser:
+    common = argparse.ArgumentParser(add_help=False)
+    common.add_argument("--config", help="settings as YAML")
+    common.add_argument("--csv", default="dataset/photos.csv", help="photo list")
+    common.add_argument("--photos", default="photos", help="folder of photos beside the list")
+    common.add_argument("--exclusions", help="CSV of photo ids to leave out")
+    common.add_argument("--out", default="data")
+    common.add_argument("--models", nargs="+", default=list(MODELS), choices=MODELS)
+    common.add_argument("--n-trials", type=int)
+    common.add_argument("--limit", type=int, help="photos to mask, the first by id")
+    common.add_argument("--preview", type=int, default=0, help="photos on the sheet of outlines")
+    common.add_argument("--no-augment", action="store_true")
+    top = argparse.ArgumentParser(prog="sievework", description=__doc__)
+    names = top.add_subparsers(dest="process", metavar="process")
+    for name, process in PROCESSES.items():
+        names.add_parser(name, parents=[common], help=process.__doc__)
+    names.add_parser("all", parents=[common], help=", ".join(ALL))
+    return top
+
+
+def chosen(ask: Callable[[str], str] = input) -> str | None:
+    """A process asked for by name, or by its number in the list; None if none is wanted."""
+    listed = dict(enumerate([*PROCESSES, "all"], 1))
+    print(*(f"{number}: {name}" for number, name in listed.items()), sep="\n")
+    valid = {str(number): name for number, name in listed.items()} | {name: name for name in listed.values()}
+    while answer := ask("which? (nothing to leave) ").strip().lower():
+        if answer in valid:
+            return valid[answer]
+    return None
+
+
+def session(name: str) -> SparkSession:
+    return SparkSession.builder.appName(f"sievework {name}").config("spark.sql.execution.arrow.maxRecordsPerBatch", "16").getOrCreate()
+
+
+def go(given: argparse.Namespace, spark: SparkSession) -> None:
+    """The process that was asked for, or all of them in order, in this session; an error ends them."""
+    settings = load_settings(given.config) if given.config and Path(given.config).exists() else Settings()
+    for name in ALL if given.process == "all" else (given.process,):
+        began = time.monotonic()
+        PROCESSES[name](Run(spark, given, settings))
+        print(f"{name} took {time.monotonic() - began:.0f} s", flush=True)
+
+
+def main(argv: list[str], ask: Callable[[str], str] = input, start: Callable[[str], SparkSession] = session) -> int:
+    """0, or 1 where a process failed, or 2 (from the parser) for what it does not know."""
+    if not argv:
+        name = chosen(ask)
+        if name is None:
+            return 0
+        argv = [name]
+    given = parser().parse_args(argv)
+    try:
+        go(given, start(given.process))
+    except (ValueError, KeyError, FileNotFoundError) as error:
+        print(f"sievework: {error}", file=sys.stderr)
+        return 1
     return 0
 
 
-def menu(ask: Callable[[str], str] = input) -> str | None:
-    names = [*PROCESSES, "all"]
-    for i, name in enumerate(names, 1):
-        print(f"{i:2}. {name:12} {PROCESSES.get(name, 'features, folds, train and deploy')}")
-    while True:
-        try:
-            answer = ask("number, or q: ").strip().lower()
-        except EOFError:
-            return None
-        if answer in ("", "q"):
-            return None
-        if answer in names:
-            return answer
-        if answer.isdigit() and 0 < int(answer) <= len(names):
-            return names[int(answer) - 1]
-
-
-def step(name: str, argv: list[str]) -> None:
-    a = arguments(argv)
-    settings = load_settings(a.config) if a.config and Path(a.config).exists() else Settings()
-    spark = SparkSession.builder.appName(f"sievework {name}").config("spark.sql.execution.arrow.maxRecordsPerBatch", "16").getOrCreate()
-    RUN[name](spark, a, replace(settings))
-
-
-def main(argv: list[str]) -> int:
-    if argv[:1] == ["--step"]:
-        step(argv[1], argv[2:])
-        return 0
-    if argv[:1] in (["-h"], ["--help"]):
-        print(__doc__, *(f"{k:12} {v}" for k, v in PROCESSES.items()), sep="\n")
-        return 0
-    name = argv[0] if argv else menu()
-    if name is None:
-        return 0
-    if name == "all":
-        return run_all(argv[1:])
-    if name not in PROCESSES:
-        print(f"no process {name}; there are {', '.join([*PROCESSES, 'all'])}")
-        return 2
-    return run_process(name, argv[1:])
-
-
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))

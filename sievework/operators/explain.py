@@ -17,6 +17,10 @@ from .metrics import PREDICTED, family_shares
 from .models import Fitted
 
 
+#: Rows that go down the trees together.
+ROWS = 512
+
+
 class Tree:
     """A binary tree as arrays: feature (-1 at leaves), threshold, children, cover, value (n, classes)."""
 
@@ -40,36 +44,39 @@ class Tree:
         return at
 
     def shapley(self, x: np.ndarray) -> np.ndarray:
-        """(features, classes): path-dependent Shapley values (Lundberg et al., 2018).
+        """(rows, features, classes) of (rows, features): path-dependent Shapley values (Lundberg et al.,
+        2018), all rows down the tree together.
 
         A leaf pays out to the features on its path alone; each stands with 1 (x follows the path) or
         0, or, left out, with the share of cover the path takes. Orders are summed by the number of
-        features present, one polynomial a leaf."""
-        out = np.zeros((len(x), self.value.shape[1]))
-        stack = [(0, {})]
+        features present, one polynomial a leaf and row."""
+        out = np.zeros((*x.shape, self.value.shape[1]))
+        stack: list[tuple[int, dict[int, tuple[np.ndarray, float]]]] = [(0, {})]
         while stack:
             node, path = stack.pop()
             f = self.feature[node]
             if f < 0:
                 self._pay(out, path, self.value[node])
                 continue
-            hot = self.left[node] if x[f] <= self.threshold[node] else self.right[node]
-            for child in (self.left[node], self.right[node]):
-                one, zero = path.get(f, (1.0, 1.0))
+            goes_left = x[:, f] <= self.threshold[node]
+            one, zero = path.get(f, (np.ones(len(x)), 1.0))
+            for child, follows in ((self.left[node], goes_left), (self.right[node], ~goes_left)):
                 share = self.cover[child] / self.cover[node] if self.cover[node] else 0.0
-                stack.append((child, {**path, f: (one * (child == hot), zero * share)}))
+                stack.append((child, {**path, f: (one * follows, zero * share)}))
         return out
 
     @staticmethod
-    def _pay(out: np.ndarray, path: dict[int, tuple[float, float]], value: np.ndarray) -> None:
+    def _pay(out: np.ndarray, path: dict[int, tuple[np.ndarray, float]], value: np.ndarray) -> None:
         m = len(path)
+        weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
         for f, (one, zero) in path.items():
-            poly = np.ones(1)
+            poly = np.zeros((len(out), m))  # by the number of other features present
+            poly[:, 0] = 1.0
             for g, (o, z) in path.items():
                 if g != f:
-                    poly = np.convolve(poly, [z, o])
-            weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
-            out[f] += (one - zero) * float(poly @ weights) * value
+                    poly[:, 1:] = poly[:, 1:] * z + poly[:, :-1] * o[:, None]
+                    poly[:, 0] *= z
+            out[:, f] += ((one - zero) * (poly @ weights))[:, None] * value
 
     def mean(self) -> np.ndarray:
         """The value without any feature known."""
@@ -110,12 +117,15 @@ def shapley_values(model: Fitted, df: DataFrame, key: str = ID) -> DataFrame:
     columns = list(model.columns)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, p, x in zip(batch[key], batch[PREDICTED], batch[columns].to_numpy(float), strict=True):
+        for every in batches:
+            for at in range(0, len(every), ROWS):
+                batch = every.iloc[at : at + ROWS]
+                x = batch[columns].to_numpy(float)
                 total = sum(w * t.shapley(x) for w, t in sent.value)
-                rows += [(k, p, c, f, float(total[j, c])) for j, f in enumerate(columns) for c in range(n)]
-            yield pd.DataFrame(rows, columns=[key, PREDICTED, "class_index", "feature", "value"])
+                each = len(columns) * n
+                yield pd.DataFrame({
+                    key: np.repeat(batch[key].to_numpy(), each), PREDICTED: np.repeat(batch[PREDICTED].to_numpy(), each), "class_index": np.tile(np.arange(n), len(batch) * len(columns)),
+                    "feature": np.tile(np.repeat(np.array(columns, object), n), len(batch)), "value": total.reshape(-1)})
 
     scored = model.predict(df).select(key, PREDICTED, *[F.col(f"`{c}`") for c in columns])
     return scored.mapInPandas(work, f"{key} {dict(scored.dtypes)[key]}, {PREDICTED} string, class_index int, feature string, value double")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import AUGMENT, ID, META, ORIGINAL, Settings
-from .ranking import quantiles
+from .ranking import column_quantiles
+
+QUARTILES = {"q1": 0.25, "q3": 0.75}
 
 
 def numeric_features(df: DataFrame) -> list[str]:
@@ -21,10 +25,10 @@ def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.select(*keys, pairs.alias("_p")).select(*keys, "_p.feature", "_p.value")
 
 
-def statistics(values: DataFrame) -> DataFrame:
-    """feature, mean, sd (population), q1, q3."""
-    moments = values.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return moments.join(quantiles(values, ["feature"], "value", {"q1": 0.25, "q3": 0.75}), "feature")
+def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, mean, sd (population), q1, q3 of columns."""
+    found = column_quantiles(df, columns, QUARTILES)
+    return df.sparkSession.createDataFrame([(c, s["mean"], s["sd"], s["q1"], s["q3"]) for c, s in found.items()], "feature string, mean double, sd double, q1 double, q3 double")
 
 
 def is_outlier(value: Column, mean: Column, sd: Column, q1: Column, q3: Column, zscore: float, iqr: float) -> Column:
@@ -38,21 +42,34 @@ def is_outlier(value: Column, mean: Column, sd: Column, q1: Column, q3: Column,
 
 def outlier_values(df: DataFrame, keys: list[str], columns: list[str], zscore: float = 3.0, iqr: float = 1.5) -> DataFrame:
     """keys, feature, value, outlier. Statistics, one row a feature, go to every task."""
-    values = long_form(df, keys, columns)
-    joined = values.join(F.broadcast(statistics(values)), "feature")
+    joined = long_form(df, keys, columns).join(F.broadcast(statistics(df, columns)), "feature")
     return joined.select(*keys, "feature", "value", is_outlier(*map(F.col, ("value", "mean", "sd", "q1", "q3")), zscore, iqr).alias("outlier"))
 
 
-def outlier_rows(df: DataFrame, keys: list[str], columns: list[str], zscore: float = 3.0, iqr: float = 1.5) -> DataFrame:
-    """keys, flagged: whether any of a row's values is an outlier. Values stay in their row, so only
-    the statistics are shuffled."""
-    held = statistics(long_form(df, [], columns)).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "sd", "q1", "q3")))).alias("_s"))
-    flags = F.lit(False)
-    for c in columns:
+def outlier_flags(df: DataFrame, columns: list[str], zscore: float = 3.0, iqr: float = 1.5) -> dict[str, Column]:
+    """For each column, whether a row's value is an outlier."""
+    flags = {}
+    for c, s in column_quantiles(df, columns, QUARTILES).items():
         v = F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
-        s = F.col("_s")[c]
-        flags |= is_outlier(v, s["mean"], s["sd"], s["q1"], s["q3"], zscore, iqr)
-    return df.join(F.broadcast(held)).select(*keys, flags.alias("flagged"))
+        flags[c] = is_outlier(v, *[F.lit(s[x]).cast("double") for x in ("mean", "sd", "q1", "q3")], zscore, iqr)
+    return flags
+
+
+def _any(flags: dict[str, Column]) -> Column:
+    return reduce(lambda a, b: a | b, flags.values(), F.lit(False))
+
+
+def outlier_rows(df: DataFrame, keys: list[str], columns: list[str], zscore: float = 3.0, iqr: float = 1.5) -> DataFrame:
+    """keys, flagged: whether any of a row's values is an outlier. Values stay in their row, so nothing
+    but brackets of quantiles is shuffled."""
+    return df.select(*keys, _any(outlier_flags(df, columns, zscore, iqr)).alias("flagged"))
+
+
+def remove_outliers(df: DataFrame, key: str, columns: list[str] | None = None, zscore: float = 3.0, iqr: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """(rows without an outlier in any column, key and a flag a column of every row); without columns,
+    all numbers that are not about the photo itself."""
+    flags = outlier_flags(df, numeric_features(df) if columns is None else columns, zscore, iqr)
+    return df.filter(~_any(flags)), df.select(key, *[f.alias(c) for c, f in flags.items()])
 
 
 def remove_outlier_photos(table: DataFrame, settings: Settings, key: str = ID) -> tuple[DataFrame, DataFrame]:

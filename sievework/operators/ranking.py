@@ -33,6 +33,48 @@ def shuffled_rank(df: DataFrame, part: list[str], order: Column, ties: list[str]
 BRACKET, ENOUGH = 1e-3, 20_000
 
 
+#: Groups whose brackets are broadcast at most.
+MOST_GROUPS = 100_000
+
+
+def column_quantiles(df: DataFrame, columns: list[str], at: dict[str, float]) -> dict[str, dict[str, float | None]]:
+    """For each column, every name of at with its exact quantile (linear interpolation), and n, mean and
+    sd (population); nulls and NaN are left out, and a column without values has None.
+
+    Values stay in their rows: one pass for moments and approximate quantiles, one to count what lies
+    below their brackets, and only what lies inside, some BRACKET of all, is dealt out and ordered."""
+    value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
+    rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(value.values())])
+    edges = F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for q in at.values() for d in (-BRACKET, BRACKET)])
+    # one row, of a few numbers a column
+    first = rows.agg(*[f(f"v{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max), ("e", lambda c: F.percentile_approx(c, edges, F.lit(20_000))))]).first()
+    out: dict[str, dict[str, float | None]] = {c: {"n": first[f"n{i}"], "mean": first[f"mean{i}"], "sd": first[f"sd{i}"], **dict.fromkeys(at)} for i, c in enumerate(columns)}
+    bracket = {}
+    for i in range(len(columns)):
+        n = first[f"n{i}"]
+        for k, q in enumerate(at.values()):
+            if n:
+                low = first[f"lo{i}"] if n < ENOUGH or q <= 2 * BRACKET else first[f"e{i}"][2 * k]
+                high = first[f"hi{i}"] if n < ENOUGH or q >= 1 - 2 * BRACKET else first[f"e{i}"][2 * k + 1]
+                bracket[i, k] = low, high
+    if not bracket:
+        return out
+    below = rows.agg(*[F.count_if(F.col(f"v{i}") < low).alias(f"b{i}_{k}") for (i, k), (low, _) in bracket.items()]).first()
+    inside = F.array_compact(F.array(*[F.when(F.col(f"v{i}").between(low, high), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"v{i}").alias("v"))) for (i, k), (low, high) in bracket.items()]))
+    # equal values are one row with their number
+    counted = rows.select(F.explode(inside).alias("x")).groupBy("x.i", "x.k", "x.v").agg(F.count("*").alias("c"))
+    start, position = {}, {}
+    for i, k in bracket:
+        start[i, k], position[i, k] = below[f"b{i}_{k}"], list(at.values())[k] * (first[f"n{i}"] - 1)
+    of = lambda held, kind: F.create_map(*[F.lit(x) for (i, k), v in held.items() for x in (i * len(at) + k, kind(v))])[F.col("i") * len(at) + F.col("k")]
+    upto = of(start, int) + F.sum("c").over(W.partitionBy("i", "k").orderBy("v"))
+    placed = counted.select("i", "k", "v", "c", upto.alias("upto"), F.floor(of(position, float)).alias("low"), F.ceil(of(position, float)).alias("high"))
+    holds = lambda p: F.max(F.when((F.col("upto") > F.col(p)) & (F.col("upto") - F.col("c") <= F.col(p)), F.col("v")))
+    for r in placed.groupBy("i", "k").agg(holds("low").alias("a"), holds("high").alias("b")).collect():  # a row a quantile
+        out[columns[r.i]][list(at)[r.k]] = r.a + (r.b - r.a) * (position[r.i, r.k] - int(position[r.i, r.k]))
+    return out
+
+
 def quantiles(df: DataFrame, part: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """part and one column a name of at: exact quantiles with linear interpolation; nulls are left out.
 
@@ -49,7 +91,8 @@ def quantiles(df: DataFrame, part: list[str], value: str, at: dict[str, float])
     same = F.lit(True)
     for c in part:
         same &= F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}"))
-    met = rows.alias("r").join(F.broadcast(wanted.alias("w")), same) if not part else rows.alias("r").join(wanted.alias("w"), same)
+    few = not part or rows.select(*part).distinct().limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    met = rows.alias("r").join(F.broadcast(wanted.alias("w")) if few else wanted.alias("w"), same)
     met = met.select(*[F.col(f"w.{c}") for c in part], "name", "pos", "lo", "hi", "_v")
     below = met.groupBy(*part, "name").agg(F.count_if(F.col("_v") < F.col("lo")).alias("_below"))
     # equal values are one row with their number

@@ -265,3 +265,43 @@ def glcm_kernel(spark, d):
             yield pd.DataFrame(rows, columns=["img", "d", "a", "contrast", "homogeneity", "energy", "entropy"])
 
     return images(spark, d).mapInPandas(work, "img long, d int, a int, contrast double, homogeneity double, energy double, entropy double")
+
+
+EDGES = """, n AS (
+  SELECT a.img, a.y, a.x, coalesce(sum(CASE WHEN c.dx <> 0 THEN c.dx * (2 - abs(c.dy)) * b.g END), 0)::INT AS gx, coalesce(sum(CASE WHEN c.dy <> 0 THEN c.dy * (2 - abs(c.dx)) * b.g END), 0)::INT AS gy
+  FROM px a, (SELECT dy, dx FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx)) c, px b
+  WHERE b.img = a.img AND b.y = least(greatest(a.y + c.dy, 0), 7) AND b.x = least(greatest(a.x + c.dx, 0), 7) GROUP BY ALL),
+m AS (SELECT *, abs(gx) + abs(gy) AS s, abs(gy) < 0.4142135623730951::DOUBLE * abs(gx) AS flat, abs(gy) > 2.414213562373095::DOUBLE * abs(gx) AS steep, (gx < 0) = (gy < 0) AS same FROM n),
+k AS (
+  SELECT m.img, m.y, m.x, m.s FROM m
+  LEFT JOIN m u ON u.img = m.img AND u.y = m.y + CASE WHEN m.flat THEN 0 ELSE -1 END AND u.x = m.x + CASE WHEN m.flat THEN -1 WHEN m.steep THEN 0 WHEN m.same THEN -1 ELSE 1 END
+  LEFT JOIN m v ON v.img = m.img AND v.y = m.y + CASE WHEN m.flat THEN 0 ELSE 1 END AND v.x = m.x + CASE WHEN m.flat THEN 1 WHEN m.steep THEN 0 WHEN m.same THEN 1 ELSE -1 END
+  WHERE m.s > %d AND m.s > coalesce(u.s, 0) AND (m.s > coalesce(v.s, 0) OR (m.flat OR m.steep) AND m.s = coalesce(v.s, 0))),
+e(img, y, x) AS (
+  SELECT img, y, x FROM k WHERE s > %d UNION
+  SELECT k.img, k.y, k.x FROM e JOIN k ON k.img = e.img AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1),
+a AS (SELECT img, count(*) FILTER (g <> 0) AS area FROM px GROUP BY 1),
+c AS (SELECT img, count(*) AS n, string_agg((y * 8 + x)::VARCHAR, ',' ORDER BY y, x) AS at FROM (SELECT DISTINCT * FROM e) GROUP BY 1)
+SELECT img, coalesce(at, '') AS pixels, coalesce(n, 0)::DOUBLE / area AS density FROM a LEFT JOIN c USING (img) WHERE area > 0"""
+EDGE_LOW, EDGE_HIGH = 200, 400
+
+
+@query("edge_density_kernel", f"WITH RECURSIVE {_px()}{EDGES % (EDGE_LOW, EDGE_HIGH)}")
+def edge_density_kernel(spark, d):
+    """Edges by the kernel that photos go through, and their share of the object's pixels."""
+    import numpy as np
+    import pandas as pd
+
+    from ..kernels.texture import canny, edge_features
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for img, px in zip(batch["img"], batch["px"], strict=True):
+                gray = np.asarray(px, np.uint8).reshape(SIDE, SIDE)
+                if gray.any():
+                    at = np.flatnonzero(canny(gray, EDGE_LOW, EDGE_HIGH))
+                    rows.append((img, ",".join(map(str, at)), edge_features(gray, EDGE_LOW, EDGE_HIGH)["edge_density"]))
+            yield pd.DataFrame(rows, columns=["img", "pixels", "density"])
+
+    return images(spark, d).mapInPandas(work, "img long, pixels string, density double")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +12,15 @@ from ..operators import explain, features
 from ..operators.metrics import PREDICTED, accuracy, macro_f1
 from ..operators.models import Range, fit_model
 from ..schema import TRANSFORMS, Settings
-from ..sources.images import png, read_images
+from ..sources.images import png, put, read_images
 from . import training
 from .tabular import photos
 
 #: Trees small enough to fit in seconds.
 SMALL = {"random_forest": {"n_estimators": Range(3, 6), "max_depth": Range(2, 4), "min_samples_leaf": Range(1, 3), "max_features": ("sqrt",)}, "logistic_regression": {"C": Range(0.1, 10.0, True), "l1_ratio": (0.0,)}}
-QUICK = Settings(n_splits=2, inner_n_splits=2, n_trials=1, base_copies=0, max_copies=1)
+QUICK = Settings(n_splits=2, inner_n_splits=2, n_trials=2, base_copies=1, max_copies=1)
 FAMILY_OF = ("glcm_", "hsv_", "edge_")
-DIMS = 12
+DIMS = 64
 QUERIES: dict = {}
 
 
@@ -31,7 +30,7 @@ def query(f):
 
 
 def vector_table(spark: SparkSession, d: str, augmented: bool = True) -> DataFrame:
-    """Photos with twelve values of their vectors as features of three families; copies are the same
+    """Photos with the values of their vectors as features of three families; copies are the same
     values, as a symmetry leaves most features alone."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     named = [F.col("embedding")[i].cast("double").alias(f"{FAMILY_OF[i % 3]}{i}") for i in range(DIMS)]
@@ -41,7 +40,7 @@ def vector_table(spark: SparkSession, d: str, augmented: bool = True) -> DataFra
 
 @query
 def nested_cv(spark, d):
-    found = training.cross_validate(vector_table(spark, d), QUICK, ("random_forest", "logistic_regression"), 1, SMALL)
+    found = training.cross_validate(vector_table(spark, d), QUICK, ("random_forest", "logistic_regression"), QUICK.n_trials, SMALL)
     return found.scores
 
 
@@ -64,7 +63,7 @@ def boosted_trees(spark, d):
 @query
 def lighting_leak(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    named = [F.col("embedding")[i].cast("double").alias(f"paper_{i}") for i in range(4)]
+    named = [F.col("embedding")[i].cast("double").alias(f"paper_{i}") for i in range(DIMS)]
     rows = photos(spark, d).join(v.select(F.col("vec_id").alias("id"), *named), "id")
     return training.paper_accuracy(rows, Settings(n_splits=2))
 
@@ -72,8 +71,8 @@ def lighting_leak(spark, d):
 @query
 def ablation(spark, d):
     table = vector_table(spark, d)
-    combined = training.cross_validate(table, QUICK, ("random_forest",), 1, SMALL).scores
-    return training.ablation(table, combined, QUICK, ("random_forest",), 1, SMALL)[1]
+    combined = training.cross_validate(table, QUICK, ("random_forest",), QUICK.n_trials, SMALL).scores
+    return training.ablation(table, combined, QUICK, ("random_forest",), QUICK.n_trials, SMALL)[1]
 
 
 @query
@@ -107,12 +106,10 @@ def generated_photos(n: int = 3, size: tuple[int, int] = (96, 128)) -> list[tupl
 @query
 def feature_table(spark, d):
     """Features of generated photos, through the image reader; no table holds photos."""
-    folder = tempfile.mkdtemp(prefix="sievework-photos-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else None
-    if folder is None:
-        raise ValueError("generated photos need a folder that all executors see")
+    folder = f"{_shared(spark)}/photos"
     for name, body in generated_photos():
-        (Path(folder) / f"{name}.png").write_bytes(body)
-    images = read_images(spark, f"file://{folder}")
+        put(spark, f"{folder}/{name}.png", body)
+    images = read_images(spark, folder)
     named = images.select(F.regexp_extract("origin", r"([^/]+)\.png$", 1).alias("id"), F.lit("b").alias("batch_id"), F.lit("A").alias("class"), "image")
     return features.feature_rows(named, Settings(resize_to=(48, 48)))
 

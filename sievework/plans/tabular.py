@@ -78,11 +78,11 @@ def batch_duplicate_id(spark, d):
 
 
 @query("batch_issues", """
-SELECT l_orderkey AS batch, 'row_count' AS reason, 'rows: ' || count(*) AS detail FROM lineitem GROUP BY 1 HAVING count(*) <> 4
-UNION ALL SELECT l_orderkey, 'class_conflict', 'classes: ' || array_to_string(list_sort(list(DISTINCT l_returnflag)), ', ') FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1
-UNION ALL SELECT l_orderkey, 'duplicate_id', 'ids: ' || string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber::VARCHAR) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1""")
+SELECT l_orderkey AS batch, 'row_count' AS reason, 'rows: ' || count(*) AS detail, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS rows FROM lineitem GROUP BY 1 HAVING count(*) <> 4
+UNION ALL SELECT l_orderkey, 'class_conflict', 'classes: ' || array_to_string(list_sort(list(DISTINCT l_returnflag)), ', '), string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1
+UNION ALL SELECT l_orderkey, 'duplicate_id', 'ids: ' || string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber::VARCHAR), string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1""")
 def batch_issues(spark, d):
-    return checks.batch_issues(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber").select("batch", "reason", "detail")
+    return checks.batch_issues(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber").select("batch", "reason", "detail", F.array_join("rows", ",").alias("rows"))
 
 
 @query("class_batch_nunique", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
@@ -103,13 +103,14 @@ def counts_after_filter(spark, d):
 
 
 def _orders(spark, d):
-    """Orders as batches of a class, one class with more of them than the others."""
-    o = table(spark, d, "orders").filter("o_orderpriority = '5-LOW' or o_custkey % 3 <> 0")
-    return o.select("o_orderkey", F.col("o_orderpriority").alias("class"), F.concat_ws("-", "o_orderpriority", F.col("o_custkey").cast("string")).alias("batch_id"))
+    """A customer's orders of a class as a batch. The two lowest priorities are one class, which so has
+    more batches than the others."""
+    o = table(spark, d, "orders").withColumn("class", F.when(F.col("o_orderpriority") >= "4", "low").otherwise(F.col("o_orderpriority")))
+    return o.select("o_orderkey", "class", F.concat_ws("-", "class", F.col("o_custkey").cast("string")).alias("batch_id"))
 
 
 ORDERS = """
-WITH o AS (SELECT o_orderkey, o_orderpriority AS class, o_orderpriority || '-' || o_custkey AS batch_id FROM orders WHERE o_orderpriority = '5-LOW' OR o_custkey % 3 <> 0),
+WITH o AS (SELECT o_orderkey, class, class || '-' || o_custkey AS batch_id FROM (SELECT *, CASE WHEN o_orderpriority >= '4' THEN 'low' ELSE o_orderpriority END AS class FROM orders)),
 b AS (SELECT DISTINCT class, batch_id FROM o),
 c AS (SELECT floor(min(n) / 0.9::DOUBLE + 1e-9) AS cap FROM (SELECT count(*) AS n FROM b GROUP BY class)),
 r AS (SELECT class, batch_id, row_number() OVER (PARTITION BY class ORDER BY md5('42|' || batch_id), batch_id) > cap AS dropped FROM b, c)
@@ -222,10 +223,19 @@ def outlier_values(spark, d):
 
 @query("outlier_rows", """
 WITH s AS (SELECT """ + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}, quantile_cont({c}, 0.25) AS a{i}, quantile_cont({c}, 0.75) AS b{i}" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"))) + """ FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, s WHERE """ + " OR ".join(f"coalesce(abs(({c} - m{i}) / nullif(d{i}, 0)) > 3, false) OR coalesce(b{i} > a{i} AND ({c} < a{i} - 1.5 * (b{i} - a{i}) OR {c} > b{i} + 1.5 * (b{i} - a{i})), false)" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"))))
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, s WHERE """ + " OR ".join(f"coalesce(abs(({c} - m{i}) / nullif(d{i}, 0)) > 1.7::DOUBLE, false) OR coalesce(b{i} > a{i} AND ({c} < a{i} - 1.5 * (b{i} - a{i}) OR {c} > b{i} + 1.5 * (b{i} - a{i})), false)" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"))))
 def outlier_rows(spark, d):
+    """Even values have nothing three deviations out; some of them are 1.7 out."""
     keys = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-    return outliers.outlier_rows(table(spark, d, "lineitem"), keys, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).filter("flagged").drop("flagged")
+    return outliers.outlier_rows(table(spark, d, "lineitem"), keys, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], zscore=1.7).filter("flagged").drop("flagged")
+
+
+@query("outlier_flags", VALUES + "SELECT vec_id, string_agg(feature, ',' ORDER BY feature) AS features FROM o WHERE outlier GROUP BY 1")
+def outlier_flags(spark, d):
+    """The flags by column that come with removal, as the names of the columns that flag a photo."""
+    _, flags = outliers.remove_outliers(vectors(spark, d), "vec_id", FEATURES)
+    named = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in FEATURES])))
+    return flags.select("vec_id", F.array_join(named, ",").alias("features")).filter("features <> ''")
 
 
 @query("quartiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1")
@@ -452,9 +462,9 @@ def training_semi_join(spark, d):
     return augmented(spark, d).join(ids, "id", "left_semi").select("id", "augment")
 
 
-@query("class_feature_means", "SELECT label AS class, " + ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 9) AS m{i}" for i in (1, 2, 3)) + " FROM embeddings GROUP BY 1")
+@query("class_feature_means", "SELECT label AS class, " + ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 9) AS m{i}" for i in range(1, DIMS + 1)) + " FROM embeddings GROUP BY 1")
 def class_feature_means(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("class")).agg(*[F.round(F.avg(F.col("embedding")[i - 1].cast("double")), 9).alias(f"m{i}") for i in (1, 2, 3)])
+    return table(spark, d, "embeddings").groupBy(F.col("label").alias("class")).agg(*[F.round(F.avg(F.col("embedding")[i - 1].cast("double")), 9).alias(f"m{i}") for i in range(1, DIMS + 1)])
 
 
 @query("leak_flag", PREDICTED + "SELECT model, avg((class = predicted)::INT::DOUBLE) > 0.25 AS leak FROM y GROUP BY 1")

@@ -28,7 +28,7 @@ MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED])
 
 
 class DatasetError(ValueError):
-    """The dataset breaks a rule; the message names every case."""
+    """The dataset breaks a rule; the message tells how many cases there are and lists the first."""
 
 
 class EmptyRegionError(ValueError):
@@ -41,7 +41,7 @@ class UploadError(ValueError):
 
 @dataclass(frozen=True)
 class Settings:
-    """All parameters, with the defaults of the published configuration."""
+    """All parameters. The defaults are those of the published configuration."""
 
     min_grade_ratio: float = 0.9
     balance_seed: int = 42

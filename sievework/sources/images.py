@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import upload_error
+from ..operators.checks import and_more, told
 
 #: Photos are megabytes each: few of them go to Python at a time.
 PHOTOS_A_BATCH = 16
@@ -29,6 +30,15 @@ def with_images(manifest: DataFrame, images: DataFrame, root: str) -> DataFrame:
     return manifest.withColumn("_at", plain(full)).join(images.select(plain(F.col("origin")).alias("_at"), "image"), "_at", "left").drop("_at")
 
 
+def require_images(photos: DataFrame, key: str = "path") -> DataFrame:
+    """photos themselves, or an error that tells how many have no file and lists the first. Files that
+    are there but cannot be decoded are not missing."""
+    n, missing = told(photos.filter(F.col("image").isNull()).select(key), key)
+    if n:
+        raise FileNotFoundError(f"{n} photos have no file: {and_more(n, [str(r[0]) for r in missing])}")
+    return photos
+
+
 def parts(image: str = "image") -> list:
     """An image struct's fields as columns: what kernels take."""
     return [F.col(f"{image}.{c}").alias(f"image_{c}") for c in ("height", "width", "nChannels", "data")]
@@ -77,27 +87,64 @@ def outlined(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_masks(photos: DataFrame, out: str, settings) -> DataFrame:
-    """id, mask_fraction of each photo; a PNG of each masked crop and outline goes to out, which all
-    executors share. Files are rewritten alike if a task runs again."""
+def mask_pictures(photos: DataFrame, settings) -> DataFrame:
+    """id, mask_fraction, and PNGs of the masked crop and of the photo with its outline; nulls where a
+    photo could not be decoded. Executors write no files: rows go wherever Spark writes."""
     from ..kernels.masking import cut_out, mask
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(out, exist_ok=True)
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                key, image = record["id"], pixels(record)
+                image = pixels(record)
                 if image is None:
-                    rows.append((key, None))
+                    rows.append((record["id"], None, None, None))
                     continue
                 found = mask(image, settings)
-                for name, picture in ((f"{key}.png", cut_out(image, found)), (f"{key}_outline.png", outlined(image, found))):
-                    with open(os.path.join(out, name), "wb") as f:
-                        f.write(png(picture))
-                rows.append((key, float(found.mean())))
-            yield pd.DataFrame(rows, columns=["id", "mask_fraction"])
+                rows.append((record["id"], float(found.mean()), png(cut_out(image, found)), png(outlined(image, found))))
+            yield pd.DataFrame(rows, columns=["id", "mask_fraction", "crop", "outline"])
+
+    return photos.select("id", *parts()).mapInPandas(work, "id string, mask_fraction double, crop binary, outline binary")
+
+
+def put(spark: SparkSession, path: str, body: bytes) -> None:
+    """A file in any of Hadoop's file systems, from the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
+def sheet(pictures: list[np.ndarray], across: int = 6, size: tuple[int, int] = (160, 120)) -> np.ndarray:
+    """Pictures side by side in rows, each made as small as said; what is left over is white."""
+    from ..kernels.morphology import nearest
+
+    down = max(1, -(-len(pictures) // across))
+    out = np.full((down * size[1], across * size[0], 3), 255, np.uint8)
+    for k, picture in enumerate(pictures):
+        y, x = k // across * size[1], k % across * size[0]
+        out[y : y + size[1], x : x + size[0]] = nearest(picture, *size)
+    return out
+
 
-    return photos.select("id", *parts()).mapInPandas(work, "id string, mask_fraction double")
+def write_masks(photos: DataFrame, out: str, settings, preview: int = 0) -> DataFrame:
+    """Writes mask_pictures as a table at out, and with a preview the outlines of so many photos, the first
+    by id, as one sheet beside it. id, mask_fraction of each photo."""
+    spark = photos.sparkSession
+    mask_pictures(photos, settings).write.mode("overwrite").parquet(out)
+    held = spark.read.parquet(out)
+    if preview:
+        first = held.filter("outline is not null").orderBy("id").limit(preview).select("id", "outline")  # as many as asked for
+        put(spark, f"{out.rstrip('/')}_preview.png", png(sheet([unpng(r.outline) for r in first.collect()])))
+    return held.select("id", "mask_fraction")
+
+
+def unpng(body: bytes) -> np.ndarray:
+    """An image that png() made."""
+    width, height, _, kind = struct.unpack(">IIBB", body[16:26])
+    size, n = struct.unpack(">I", body[33:37])[0], 3 if kind == 2 else 1
+    lines = np.frombuffer(zlib.decompress(body[41 : 41 + size]), np.uint8).reshape(height, 1 + width * n)
+    flat = lines[:, 1:].reshape(height, width, n)
+    return flat if n == 3 else flat[..., 0]

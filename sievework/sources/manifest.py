@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import ALIASES, CLASSES, ID, LABEL, META, REQUIRED, DatasetError
+from ..operators.checks import and_more, told
+from ..schema import ALIASES, CLASSES, COVERAGE, ID, LABEL, META, REQUIRED, DatasetError
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,9 +34,9 @@ def unknown_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> Data
 def load_manifest(spark: SparkSession, path: str, allowed: tuple[str, ...] = CLASSES) -> DataFrame:
     """The photo list as strings (ids keep leading zeros), validated."""
     df = require(renamed(spark.read.csv(path, header=True)))
-    bad = sorted(str(r[0]) for r in unknown_values(df, LABEL, allowed).limit(20).collect())
-    if bad:
-        raise ValueError(f"unknown classes: {', '.join(bad)}")
+    n, bad = told(unknown_values(df, LABEL, allowed), LABEL)
+    if n:
+        raise ValueError(f"unknown classes: {and_more(n, [str(r[0]) for r in bad])}")
     return df
 
 
@@ -50,9 +52,9 @@ def exclude(df: DataFrame, exclusions: DataFrame | None, key: str = ID) -> tuple
     if exclusions is None:
         return df, df.select(key).limit(0)
     listed = exclusions.select(key).distinct()
-    unknown = sorted(str(r[0]) for r in listed.join(df.select(key).distinct(), key, "left_anti").limit(20).collect())
-    if unknown:
-        raise ValueError(f"excluded ids that are not in the dataset: {', '.join(unknown)}")
+    n, unknown = told(listed.join(df.select(key).distinct(), key, "left_anti"), key)
+    if n:
+        raise ValueError(f"excluded ids that are not in the dataset: {and_more(n, [str(r[0]) for r in unknown])}")
     return df.join(listed, key, "left_anti"), df.join(listed, key, "left_semi").select(key)
 
 
@@ -70,4 +72,10 @@ def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    """A written table. A CSV's numbers are numbers, but what is about the photo (ids above all) stays
+    as it is written, zeros in front included; the share of the frame is a number."""
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.parquet(path)
+    found = spark.read.csv(path, header=True, inferSchema=True).schema
+    text = set(META) - {COVERAGE}
+    return spark.read.csv(path, header=True, schema=T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found]))

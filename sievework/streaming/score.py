@@ -50,18 +50,18 @@ def score(photos: DataFrame, artifact: Artifact, key: str = "path") -> DataFrame
     return graded.select(key, grade.alias("grade"), described.alias("description"), "error", COVERAGE)
 
 
-def score_stream(spark: SparkSession, path: str, artifact: Artifact, out: str, checkpoint: str) -> None:
-    """Grades all files below path that earlier runs have not, and ends."""
+def score_stream(spark: SparkSession, path: str, artifact: Artifact, out: str, checkpoint: str, files_a_batch: int = 1000) -> None:
+    """Grades all files below path that earlier runs have not, some files at a time, and ends."""
     from pyspark.sql.types import BinaryType, LongType, StringType, StructType, TimestampType
 
     from ..functions.scalar import upload_error
 
     schema = StructType().add("path", StringType()).add("modificationTime", TimestampType()).add("length", LongType()).add("content", BinaryType())
-    raw = spark.readStream.format("binaryFile").schema(schema).load(path)
+    raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_a_batch).load(path)
 
     def grade(batch: DataFrame, _: int) -> None:
         judged = batch.select("path", upload_error(F.col("length"), F.substring("content", 1, 8)).alias("error"))
-        paths = [r.path for r in judged.filter("error is null").select("path").collect()]  # names of one batch
+        paths = [r.path for r in judged.filter("error is null").select("path").collect()]  # names of files_a_batch files
         if not paths:
             both = judged.withColumn("image", F.lit(None).cast(IMAGE))
         else:

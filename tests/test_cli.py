@@ -1,34 +1,67 @@
+import argparse
+
+import pytest
+
 from sievework import cli
+from sievework.schema import DatasetError
+
+
+@pytest.fixture
+def ran(monkeypatch):
+    seen = []
+
+    def put(name, fails=None):
+        def process(run):
+            seen.append((name, run.given.n_trials))
+            if fails:
+                raise fails
+        monkeypatch.setitem(cli.PROCESSES, name, process)
+
+    for name in cli.PROCESSES:
+        put(name)
+    seen_and_put = argparse.Namespace(seen=seen, put=put)
+    return seen_and_put
+
+
+def start(_):
+    return None
 
 
-def test_pipeline_runs_in_order_and_stops():
-    ran = []
+def test_all_runs_in_order(ran):
+    assert cli.main(["all", "--n-trials", "2"], start=start) == 0
+    assert [name for name, _ in ran.seen] == ["features", "folds", "train", "deploy"] and ran.seen[2][1] == 2
 
-    def run(name, extra):
-        ran.append((name, extra))
-        return 3 if name == "train" else 0
 
-    assert cli.run_all(["--n-trials", "2"], run) == 3
-    assert ran == [("features", []), ("folds", []), ("train", ["--n-trials", "2"])]
+def test_all_stops_at_the_first_failure(ran, capsys):
+    ran.put("folds", DatasetError("a bad batch"))
+    assert cli.main(["all"], start=start) == 1
+    assert [name for name, _ in ran.seen] == ["features", "folds"] and "a bad batch" in capsys.readouterr().err
 
 
-def test_quick_train_has_three_trials():
-    calls = []
-    assert cli.run_process("quick-train", ["--out", "x"], lambda c: calls.append(c) or 0) == 0
-    assert calls[0][-4:] == ["--n-trials", "3", "--out", "x"]
+def test_quick_train_has_three_trials(monkeypatch):
+    seen = []
+    monkeypatch.setattr(cli, "train", lambda run: seen.append(run.given.n_trials))
+    for argv in (["quick-train"], ["quick-train", "--n-trials", "5"]):
+        cli.main(argv, start=start)
+    assert seen == [3, 5]
 
 
-def test_unknown_and_help(capsys):
-    assert cli.main(["nothing"]) == 2 and "nothing" in capsys.readouterr().out
-    assert cli.main(["--help"]) == 0
+def test_unknown_processes_and_help_end(capsys):
+    for argv, code in ((["nothing"], 2), (["--help"], 0)):
+        with pytest.raises(SystemExit) as end:
+            cli.main(argv, start=start)
+        assert end.value.code == code
+    assert "ablation" in capsys.readouterr().out
 
 
-def test_menu():
+def test_processes_are_chosen_by_number_or_name(ran):
     answers = iter(["99", "4"])
-    assert cli.menu(lambda _: next(answers)) == "train"
-    assert cli.menu(lambda _: "q") is None and cli.menu(lambda _: "all") == "all"
+    assert cli.chosen(lambda _: next(answers)) == "train"
+    assert cli.chosen(lambda _: "") is None and cli.chosen(lambda _: "ALL") == "all"
+    assert cli.main([], ask=lambda _: "") == 0 and cli.main([], ask=lambda _: "mask", start=start) == 0
+    assert ran.seen == [("mask", None)]
 
 
-def test_all_processes_have_a_step():
-    assert set(cli.RUN) == set(cli.PROCESSES)
-    assert cli.arguments(["--models", "xgboost", "--limit", "3"]).models == ["xgboost"]
+def test_arguments():
+    given = cli.parser().parse_args(["train", "--models", "xgboost", "--limit", "3"])
+    assert given.models == ["xgboost"] and given.limit == 3 and given.out == "data"

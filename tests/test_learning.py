@@ -138,9 +138,8 @@ def test_shapley_values(spark, name):
     trees, n = explain.ensemble(model)
     rng = random.Random(1)
     for _, tree in trees:
-        for _ in range(3):
-            x = np.array([rng.uniform(-3, 11) for _ in range(3)])
-            got = tree.shapley(x)
+        rows = np.array([[rng.uniform(-3, 11) for _ in range(3)] for _ in range(3)])
+        for x, got in zip(rows, tree.shapley(rows), strict=True):
             assert np.allclose(got, brute_shapley(tree, x), atol=1e-9)
             assert np.allclose(got.sum(axis=0) + tree.mean(), tree.at(x), atol=1e-9)
     values = explain.shapley_values(model, df.limit(5))
@@ -200,8 +199,21 @@ def test_uploads_and_scores(spark, photo_dir, tmp_path):
 
 
 def test_mask_pictures(spark, photo_dir, tmp_path):
-    found = images.write_masks(named(spark, photo_dir), str(tmp_path / "m"), Settings()).collect()
-    assert {r.id for r in found if r.mask_fraction} == {"p0", "p1"} and (tmp_path / "m" / "p0_outline.png").read_bytes().startswith(b"\x89PNG")
+    found = images.write_masks(named(spark, photo_dir), str(tmp_path / "m"), Settings(), preview=5).collect()
+    assert {r.id for r in found if r.mask_fraction} == {"p0", "p1"}
+    held = {r.id: r for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    crop, outline = (images.unpng(bytes(x)) for x in (held["p0"].crop, held["p0"].outline))
+    assert crop.any() and (outline == (255, 0, 0)).all(axis=-1).any() and set(held) == {r.id for r in found}
+    sheet = images.unpng((tmp_path / "m_preview.png").read_bytes())
+    assert sheet.shape == (120, 960, 3) and (sheet[:, 480:] == 255).all() and (sheet[:, :480] < 255).any()
+
+
+def test_missing_photos_are_named(spark, photo_dir):
+    rows = spark.createDataFrame([("p0", "p0.png"), ("x", "x.png"), ("y", "y.png")], "id string, path string")
+    found = images.with_images(rows, images.read_images(spark, photo_dir), photo_dir)
+    with pytest.raises(FileNotFoundError, match="2 photos have no file: x.png, y.png"):
+        images.require_images(found)
+    assert images.require_images(found.filter("id = 'p0'")).count() == 1
 
 
 def test_stream_of_events(spark, small):

@@ -196,3 +196,48 @@ def test_family_shares(spark):
 def test_settings_from_nested_mapping():
     s = from_mapping({"data": {"min_grade_ratio": 0.8}, "features": {"glcm": {"distances": [1]}}, "tuning": {"n_trials": 3}})
     assert s.min_grade_ratio == 0.8 and s.glcm_distances == (1,) and s.n_trials == 3 and s.inner().n_splits == 3 and s.inner(5).n_splits == 5
+
+
+def test_errors_count_all_cases_and_list_some(spark):
+    rows = spark.range(1001).selectExpr("cast(id as string) id", "concat('b', id) batch_id", "'A' class")
+    with pytest.raises(checks.DatasetError, match="1001 batch issues.* and 1 more$"):
+        checks.assert_clean(rows)
+    assert checks.and_more(3, ["a", "b"]) == "a, b and 1 more" and checks.and_more(2, ["a", "b"]) == "a, b"
+
+
+def test_issues_carry_the_rows(spark):
+    df = spark.createDataFrame([("a", "x", "A"), ("b", "x", "B"), ("b", "x", "A"), ("c", "y", "A"), ("d", None, "A")], "id string, batch_id string, class string")
+    got = {(r.batch, r.reason): (r.detail, r.rows) for r in checks.batch_issues(df, size=3).collect()}
+    assert got == {("x", "class_conflict"): ("classes: A, B", ["a", "b", "b"]), ("x", "duplicate_id"): ("ids: b", ["b"]), ("y", "row_count"): ("rows: 1", ["c"])}
+
+
+def test_csv_ids_keep_zeros(spark, tmp_path):
+    from sievework.sources.manifest import read_table
+
+    (tmp_path / "t.csv").write_text("id,batch_id,class,mask_fraction,glcm_d1\n007,01,A,0.25,3\n")
+    r = read_table(spark, str(tmp_path / "t.csv")).first()
+    assert (r.id, r.batch_id, r.mask_fraction, r.glcm_d1) == ("007", "01", 0.25, 3)
+
+
+def test_column_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from sievework.operators import ranking
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), None, float("nan") if k % 5 else 1.5) for k, (a, b) in enumerate(rng.integers(0, 30, (4000, 2)) * (1.0, 0.25))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for enough in (20_000, 100):  # all rows ordered, and brackets alone
+        monkeypatch.setattr(ranking, "ENOUGH", enough)
+        got = ranking.column_quantiles(df, ["a", "b", "c", "d"], {"q1": 0.25, "q9": 0.901})
+        for c, k in (("a", 0), ("b", 1)):
+            values = np.array([r[k] for r in rows])
+            assert got[c]["q1"] == pytest.approx(np.quantile(values, 0.25)) and got[c]["q9"] == pytest.approx(np.quantile(values, 0.901))
+            assert (got[c]["mean"], got[c]["sd"]) == pytest.approx((values.mean(), values.std()))
+        assert got["c"] == {"n": 0, "mean": None, "sd": None, "q1": None, "q9": None} and got["d"]["q1"] == 1.5 and got["d"]["n"] == 800
+
+
+def test_removal_returns_flags(spark):
+    df = spark.createDataFrame([(str(k), 1.0 + k % 3, 5.0 if k else 500.0) for k in range(40)], "id string, f double, g double")
+    kept, flags = outliers.remove_outliers(df, "id")
+    assert kept.count() == 39 and {(r.id, r.f, r.g) for r in flags.filter("f or g").collect()} == {("0", False, True)}
