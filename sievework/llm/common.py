@@ -47,18 +47,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's own folder below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/sievework/{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared checkpoint folder and read it back: the lineage ends
     there, and a lost executor costs a reread, not a rerun."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/sievework/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table durable() has written below this session's checkpoint folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/sievework")
+    """Delete every table durable() has written for this application. Results that were not written
+    elsewhere read those tables, so this comes last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -26,6 +26,8 @@ WEIGHTS = (1, 2, 3)
 BLOCK_WORDS, MOST_BLOCKS = 512, 1 << 20
 PIECES = "array<struct<pass:int,shard:int,from_word:bigint,to_word:bigint,order_key:bigint>>"
 SHARDS, SEED = 32, 17
+#: Bits of a place's order, and those that tell the slice of a shard it lies in.
+ORDER_BITS, SLICE_BITS = 60, 12
 
 
 def _hashed(digits: int, *parts: str) -> str:
@@ -134,23 +136,23 @@ def mix(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text: str = "te
           transform(filter(transform(sequence(0, {n_shards - 1}), i -> named_struct(
               'i', i, 'lo', greatest(p * s + at, if(i = 0, 0L, ends[i - 1])), 'hi', least(p * s + at + size, quota, ends[i]))), x -> x.lo < x.hi),
             x -> named_struct('pass', cast(p as int), 'shard', x.i, 'from_word', x.lo - p * s - at, 'to_word', x.hi - p * s - at,
-              'order_key', {_hashed(15, str(seed), 'x.i', 'skey', f'x.lo div {block}')}))))""").cast(PIECES)
+              'order_key', {_hashed(ORDER_BITS // 4, str(seed), 'x.i', 'skey', f'x.lo div {block}')}))))""").cast(PIECES)
     out = placed.withColumn("pieces", pieces)
     return out.select(*unpacked(keep), "size", F.col("s").alias("source_size"), "target", F.expr("aggregate(pieces, 0L, (x, y) -> x + y.to_word - y.from_word)").alias("taken"), "pieces")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """df's rows as the mix repeats them, shard after shard and each in its order: whole rows, once for
-    every pass that takes most of their words, in the shard and at the place of the longest piece."""
+    """df's rows as the mix repeats them: whole rows, once for every pass that takes most of their words,
+    in the shard and at the place of the longest piece. A shard's places are cut into slices by their order; a
+    partition of the result holds whole slices, each in its order."""
     mixed = mix(df, **options)
     passes = F.expr("""transform(array_distinct(transform(pieces, x -> x.pass)), p -> transform(array(filter(pieces, x -> x.pass = p)), own -> named_struct(
         'words', aggregate(own, 0L, (a, x) -> a + x.to_word - x.from_word),
         'longest', array_max(transform(own, x -> named_struct('n', x.to_word - x.from_word, 'shard', x.shard, 'order_key', x.order_key)))))[0])""")
     keep = carried(mixed, OUTPUTS)
     placed = mixed.withColumn("_copies", F.filter(passes, lambda p: 2 * p["words"] >= F.col("size"))).select(packed(mixed, keep).alias("_row"), F.explode("_copies.longest").alias("_at"))
-    # ranges of places, so that a shard of any size is written by several tasks
-    order = [F.col("_at.shard"), F.col("_at.order_key")]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*unpacked(keep))
+    slice_of = F.shiftright("_at.order_key", ORDER_BITS - SLICE_BITS)
+    return placed.repartition(F.col("_at.shard"), slice_of).sortWithinPartitions("_at.shard", "_at.order_key").select(*unpacked(keep))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +170,8 @@ def _oracle() -> str:
     child = lambda node, b: f"{{'level': level + 1, 'node': {node}, 'i': 1, 'pop': coalesce(list_sum({b}), 0)::BIGINT, 'n': (coalesce(list_sum({b}), 0) // 2)::BIGINT, 'b': {b}, 'lf': []::BIGINT[]}}"
     return rf"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
     md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS perm, md5(coalesce(text, '')) AS digest FROM documents),
 g AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank, 3.0 * s AS cap FROM g),
@@ -205,7 +208,7 @@ x AS (
   FROM p JOIN ends USING (rank), range(3) g(pass) WHERE greatest(pass * s + spot, lo) < least(pass * s + spot + size, quota, hi)),
 c AS (
   SELECT rid, sum(z - a) AS taken, count(*) AS n, string_agg(concat_ws(':', pass, shard, a - origin, z - origin,
-    ('0x' || substr(md5(concat_ws(':', {SEED}, shard, skey, a // (SELECT block FROM k))), 1, 15))::BIGINT), ',' ORDER BY pass, shard) AS places FROM x GROUP BY rid)
+    ('0x' || substr(md5(concat_ws(':', {SEED}, shard, skey, a // (SELECT block FROM k))), 1, {ORDER_BITS // 4}))::BIGINT), ',' ORDER BY pass, shard) AS places FROM x GROUP BY rid)
 SELECT doc_id, d.size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n, 0)::BIGINT AS n_pieces, coalesce(places, '') AS places
 FROM d JOIN p USING (rid) LEFT JOIN c USING (rid)"""
 

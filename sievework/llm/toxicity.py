@@ -27,6 +27,8 @@ from .textnum import slices
 
 #: The sample that is learned from: so many rows of a class, and so many bytes of text, at most.
 ROWS_PER_CLASS, SAMPLE_BYTES = 1000, 8 << 20
+#: What a row counts beside its text, so that not even empty texts come in any number.
+ROW_BYTES = 64
 FOLDS = 5
 LEVEL = 6
 #: Stretches of so many bytes may enter the toxic dictionary, from words of so many at most.
@@ -209,10 +211,12 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     Learns from a sample bounded by ROWS_PER_CLASS and SAMPLE_BYTES, the first ids in the order of a
     hash that fit; one that does not is passed over. Where none of a class fits, the beginning of its
-    shortest stands for it. Null labels and ids are left out; an id with several labels has the largest."""
+    shortest stands for it. Equal hashes are in the order of the ids. Null labels and ids are left out,
+    a null text is empty; an id with several labels has the largest; a repeated id comes with all its
+    rows or not at all. Other columns are not read, whatever their names."""
     marked = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     rows = df.filter(fold(doc_id, FOLDS) != 0).select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    known = rows.select("id", F.octet_length("text").cast("long").alias("bytes")).join(marked, "id")
+    known = rows.select("id", (F.octet_length("text") + F.lit(ROW_BYTES)).cast("long").alias("bytes")).join(marked, "id")
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sized = known.groupBy("id", "y").agg(F.sum("bytes").alias("bytes"), F.xxhash64("id").alias("h"))
     picked = {r.id: y for y in (0, 1) for r in _fitting(sized.filter(F.col("y") == y), SAMPLE_BYTES // 2)}
@@ -234,8 +238,9 @@ def score_toxicity(df: DataFrame, model: Model | None, share: float = 0.0, text:
     """Every row of df, beside the given columns (all of df's if none are given), with score and predicted.
 
     A null text scores like an empty one, which has no windows and gets what a text without evidence
-    gets. Without a model every score is the share of class 1. Input columns named like an output are
-    replaced; repeated rows give repeated results."""
+    gets; a text of any length is scored whole. Without a model every score is the share of class 1.
+    Input columns named like an output are replaced; repeated rows give repeated results, rows alike in
+    text the same score, an empty table an empty result."""
     small_batches(df.sparkSession)
     outputs = ["score", "predicted"]
     keep = [c for c in carried(df, outputs) if columns is None or c in columns]

@@ -28,7 +28,7 @@ def toxic_sample(rows, labels):
         sizes = collections.Counter()
         for i, t, label in known:
             if label == y:
-                sizes[i] += len(t.encode())
+                sizes[i] += len(t.encode()) + toxicity.ROW_BYTES
         left, n, signed = toxicity.SAMPLE_BYTES // 2, 0, lambda x: x - (x >> 63 << 64)
         for i in sorted(sizes, key=lambda i: (signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)), i)):
             if n < toxicity.ROWS_PER_CLASS and sizes[i] <= left and 16 * left > toxicity.SAMPLE_BYTES // 2:

@@ -519,12 +519,17 @@ def test_mixing_goes_by_the_tree(spark, docs, small, monkeypatch):
             if 2 * sum(p.to_word - p.from_word for p in own) >= r.size:
                 best = max(own, key=lambda p: (p.to_word - p.from_word, p.shard, p.order_key))
                 order.append((best.shard, best.order_key, r.doc_id))
-    got = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
-    place = [{(s, o) for s, o, i in order if i == x} for x in got]
-    assert sorted(got) == sorted(i for *_, i in order)
-    low = (-1, -1)
-    for options in place:  # a walk through the shards in order meets every copy
-        low = min(x for x in options if x >= low)
+    parts = collections.defaultdict(list)
+    for r in mixing.mixed_documents(docs).withColumn("part", F.spark_partition_id()).collect():
+        parts[r.part].append(r.doc_id)
+    assert sorted(i for p in parts.values() for i in p) == sorted(i for *_, i in order) and len(parts) > 1
+    places = collections.defaultdict(list)
+    for s, o, i in sorted(order):
+        places[i].append((s, o))
+    for ids in parts.values():  # in each partition a walk through places in order meets every copy
+        low = (-1, -1)
+        for i in ids:
+            low = min(x for x in places[i] if x >= low)
 
 
 def test_mix_pieces_are_disjoint_and_meet_quotas(docs):
@@ -609,6 +614,7 @@ def test_long_secrets_reach_what_follows(spark):
 
 def test_toxicity_passes_over_documents_that_do_not_fit(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8000)
+    monkeypatch.setattr(toxicity, "ROW_BYTES", 0)
     rows = [(i, "vile rotten words " * (1 if i % 4 else 400) if i % 2 else "calm plain words " * (1 if i % 4 else 400)) for i in range(1, 60)]
     long = [(i, t * 400 if i % 3 == 0 and len(t) < 40 else t) for i, t in rows]
     seen = []
