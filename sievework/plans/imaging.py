@@ -281,8 +281,8 @@ e(img, y, x) AS (
   SELECT img, y, x FROM k WHERE s > %d UNION
   SELECT k.img, k.y, k.x FROM e JOIN k ON k.img = e.img AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1),
 a AS (SELECT img, count(*) FILTER (g <> 0) AS area FROM px GROUP BY 1),
-c AS (SELECT img, count(*) AS n, string_agg((y * 8 + x)::VARCHAR, ',' ORDER BY y, x) AS at FROM (SELECT DISTINCT * FROM e) GROUP BY 1)
-SELECT img, coalesce(at, '') AS pixels, coalesce(n, 0)::DOUBLE / area AS density FROM a LEFT JOIN c USING (img) WHERE area > 0"""
+c AS (SELECT img, count(*) AS n, string_agg((y * 8 + x)::VARCHAR, ',' ORDER BY y, x) AS places FROM (SELECT DISTINCT * FROM e) GROUP BY 1)
+SELECT img, coalesce(places, '') AS pixels, coalesce(n, 0)::DOUBLE / area AS density FROM a LEFT JOIN c USING (img) WHERE area > 0"""
 EDGE_LOW, EDGE_HIGH = 200, 400
 
 
