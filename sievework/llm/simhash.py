@@ -109,7 +109,9 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
         texts = texts.groupBy(*PLACE).agg(F.first("text").alias("text"))
     # the next document's part travels to its place, so each text is dealt once as a whole and once in part
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = links.join(texts.withColumnsRenamed({c: f"next_{c}" for c in PLACE}), [f"next_{c}" for c in PLACE]).select(*links.columns, F.substr("text", F.lit(1), half).alias("head"))
+    ahead = links.select(*[F.col(c).alias(f"own_{c}") for c in PLACE], "n_chars", "n", *[F.col(f"next_{c}").alias(c) for c in PLACE])
+    # texts keep their names on this side too, so that both joins read one exchange
+    heads = ahead.join(texts, list(PLACE)).select(*[F.col(f"own_{c}").alias(c) for c in PLACE], "n_chars", "n", *[F.col(c).alias(f"next_{c}") for c in PLACE], F.substr("text", F.lit(1), half).alias("head"))
     rows = heads.join(texts, list(PLACE)).withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), "head"))
     keys = [*links.columns, "sha"]
     rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("part"), "text"), F.struct(F.lit(1).alias("part"), F.col("edited").alias("text")))).alias("t"))
