@@ -37,7 +37,7 @@ CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 2 << 20
 #: Buckets that a chunk or a group of chunks sends to, and chunks of a group.
 FAN = 2048
 #: Packed bytes that a task of a shuffle takes, some.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 _END, _START = mix(np.array([0x656E64, 0x7374617274], np.uint64))
 #: Cells of the held-out counts: octaves of the context's count by eighths of an octave of both shares.
 CONTEXTS, SHARES, STEP = 40, 320, 8

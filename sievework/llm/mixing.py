@@ -95,9 +95,10 @@ def mix(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text: str = "te
     in which pass, and where each is put.
 
     n_shards is a power of two. Words are runs without ASCII white space; a null text has none. A
-    null source is a source of its own, the last in order. A row without words is never taken. Rows
-    alike in id and text share the places of their order. Input columns named like an output are
-    replaced; an empty table gives an empty result."""
+    null source is a source of its own, the last in order. A row without words is never taken, one of
+    any length may lie in several pieces. Rows alike in id and text share the places of their order, in
+    any order; equal fills of two sources are taken in the order of the sources. Input columns named
+    like an output are replaced; an empty table gives an empty result."""
     if n_shards & (n_shards - 1):
         raise ValueError("n_shards must be a power of two")
     keep = [c for c in carried(df, OUTPUTS) if columns is None or c in columns]

@@ -1,8 +1,8 @@
 """Op 2, compression-distance classification: toxicity.
 
-Two zstandard dictionaries are trained on labelled text. The toxic one holds the stretches that
-save most bytes in toxic documents and hardly occur in ordinary ones; the ordinary one holds common
-ordinary words. A window, here one word with its borders, is compressed behind either dictionary,
+Two zstandard dictionaries are made from labelled text. The toxic one is trained by the library on the
+words of toxic documents that hold a stretch which saves bytes in those and hardly occurs in ordinary
+ones; the ordinary one holds common ordinary words. A window, here one word with its borders, is compressed behind either dictionary,
 and the difference of the lengths, given the window's length, tells how much likelier such a window
 is in toxic documents. Every window is followed by the same tail, which both dictionaries hold, so
 that block overhead cancels and the matcher looks at the whole window. The thresholds on a
@@ -34,10 +34,12 @@ LEVEL = 6
 #: Stretches of so many bytes may enter the toxic dictionary, from words of so many at most.
 SHORTEST, LONGEST, WORD_BYTES = 5, 12, 40
 STRETCHES, COMMON_WORDS = 96, 400
+#: Size of the toxic dictionary, and the trainer's lengths of segments and of what it counts in them.
+TOXIC_BYTES, SEGMENT, PIECE = 512, 16, 6
 #: A document's strongest windows that count.
 STRONGEST = 4
 #: What a toxic document that is passed over weighs against an ordinary one that is rejected.
-MISS_COST = 2.0
+MISS_COST = 3.0
 TAIL = bytes(range(128, 192))
 GAINS, LENGTHS = 12, 16
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,10 +111,9 @@ def _stretches(words: set[bytes], n: int, pieces: set[bytes] | None) -> set[byte
     return out
 
 
-def _toxic_content(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes:
+def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
     """Stretches by the bytes they save in toxic documents beyond what they would save in ordinary
-    ones, none inside another or half made of pieces of others, the best last (where references to
-    them are shortest). A stretch is in enough documents only if both its shorter pieces are, so
+    ones, none inside another or half made of pieces of others, the best first. A stretch is in enough documents only if both its shorter pieces are, so
     lengths are counted one after the other."""
     least = max(3, 0.02 * len(toxic))
     inside: dict[bytes, int] = {}
@@ -141,7 +142,19 @@ def _toxic_content(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> bytes
             held |= pieces
             if len(chosen) == STRETCHES:
                 break
-    return b"\n".join(reversed(chosen))
+    return chosen
+
+
+def _toxic_dictionary(toxic: list[set[bytes]], telling: list[bytes]) -> bytes:
+    """The library's dictionary of each toxic document's words with a telling stretch; of too few of
+    them it makes none, and the stretches themselves stand for it."""
+    parts = re.compile(b"|".join(re.escape(x) for s in telling if (x := s.strip())) or rb"(?!)")
+    tells = {w for d in toxic for w in d if parts.search(w)}
+    samples = [b" " + b" ".join(found) + b" " for d in toxic if (found := sorted(d & tells))]
+    try:
+        return zstandard.train_dictionary(TOXIC_BYTES, samples, k=SEGMENT, d=PIECE).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(reversed(telling))
 
 
 def train(rows: list[tuple[str, int]], totals: tuple[int, int]) -> Model | None:
@@ -153,7 +166,7 @@ def train(rows: list[tuple[str, int]], totals: tuple[int, int]) -> Model | None:
     if not toxic or not ordinary:
         return None
     common = Counter(w for d in ordinary for w in d)
-    content = _toxic_content(toxic, ordinary)
+    content = _toxic_dictionary(toxic, _telling(toxic, ordinary))
     del toxic, ordinary
     frequent = b" ".join(reversed([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]]))
     model = Model(content, frequent[-max(len(content), 256) :], np.zeros(GAINS * LENGTHS), np.zeros(STRONGEST + 2))
