@@ -34,11 +34,15 @@ class Run:
     def at(self, name: str) -> str:
         return f"{self.given.out}/{name}"
 
+    def place(self, name: str) -> str:
+        """A table's, which tells its format."""
+        return self.at(name) + (".csv" if self.given.format == "csv" else "")
+
     def table(self, name: str):
-        return read_table(self.spark, self.at(name))
+        return read_table(self.spark, self.place(name))
 
-    def write(self, df, name: str, **how) -> None:
-        write_table(df, self.at(name), **how)
+    def write(self, df, name: str) -> None:
+        write_table(df, self.place(name), self.given.format == "csv")
 
     def report(self, content: dict, name: str) -> None:
         write_report(content, self.at(f"results/{name}.json"))
@@ -73,7 +77,7 @@ def mask(run: Run) -> None:
 def extract(run: Run) -> None:
     """photo list and photos to a feature table"""
     rows, dropped = run.balanced()
-    run.write(dropped, "balance_dropped.csv", csv=True)
+    write_table(dropped, run.at("balance_dropped.csv"), csv=True)
     run.write(features.feature_rows(run.images(rows), run.settings, (ORIGINAL,) if run.given.no_augment else TRANSFORMS), "feature_rows")
     every = run.table("feature_rows")
     run.write(every.filter("error is null").drop("error"), "features")
@@ -97,7 +101,7 @@ def train(run: Run) -> None:
     scores, preds = run.table("results/scores"), run.table("results/predictions")
     metrics.score_summary(scores).orderBy("model").show()
     best: dict[str, dict] = {}
-    for r in run.table("results/params").orderBy("model", "fold").collect():  # a row a model and fold
+    for r in found.params.orderBy("model", "fold").collect():  # a row a model and fold
         best.setdefault(r.model, {})[str(r.fold)] = dict(r.params)
     run.report(best, "best_params")
     run.report({name: _measures(preds.filter(F.col("model") == name)) for name in run.given.models}, "metrics")
@@ -159,6 +163,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--photos", default="photos", help="folder of photos beside the list")
     common.add_argument("--exclusions", help="CSV of photo ids to leave out")
     common.add_argument("--out", default="data")
+    common.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="of the tables between processes")
     common.add_argument("--models", nargs="+", default=list(MODELS), choices=MODELS)
     common.add_argument("--n-trials", type=int)
     common.add_argument("--limit", type=int, help="photos to mask, the first by id")

@@ -64,9 +64,11 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
-    """Overwrites; Parquet between steps, CSV (with a header even if empty) for people."""
+    """Overwrites; Parquet between steps, CSV (with a header even if empty) for people, where what is
+    no single value is JSON."""
     if csv:
-        df.write.mode("overwrite").csv(path, header=True)
+        simple = [F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f"`{f.name}`") for f in df.schema]
+        df.select(*simple).write.mode("overwrite").csv(path, header=True)
     else:
         df.write.mode("overwrite").parquet(path)
 

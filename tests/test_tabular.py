@@ -241,3 +241,11 @@ def test_removal_returns_flags(spark):
     df = spark.createDataFrame([(str(k), 1.0 + k % 3, 5.0 if k else 500.0) for k in range(40)], "id string, f double, g double")
     kept, flags = outliers.remove_outliers(df, "id")
     assert kept.count() == 39 and {(r.id, r.f, r.g) for r in flags.filter("f or g").collect()} == {("0", False, True)}
+
+
+def test_csv_tables_hold_maps_as_json(spark, tmp_path):
+    from sievework.sources.manifest import read_table, write_table
+
+    df = spark.createDataFrame([("m", 0, {"a": "1"})], "model string, fold int, params map<string,string>")
+    write_table(df, str(tmp_path / "p.csv"), csv=True)
+    assert tuple(read_table(spark, str(tmp_path / "p.csv")).first()) == ("m", 0, '{"a":"1"}')
