@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import carried, durable, packed, spread, table, unpacked
+from .common import BROADCAST_ROWS, carried, durable, packed, spread, table, unpacked
 
 OUTPUTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 ROW_OVERHEAD = 16
 #: Keys of a range, which one task puts in order.
 RANGE_KEYS = 1_000_000
+#: Rows of one key that are numbered by one task.
+MOST_ALIKE = 10_000
 
 
 def rank_in(bounds: list[str], key: Column) -> Column:
@@ -75,21 +77,27 @@ def _bounds(keys: DataFrame, count: int, total: int, n_ranges: int, samples: int
         bounds, samples = sorted({*bounds, *more}), samples if more else 8 * samples
 
 
-def _numbered(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows with a key, and i, from 0, among those with the same one.
-
-    Keys that several rows have are numbered by input partition first, so that not even a key that
-    most rows have is put in order by one task; numbers are written before they are used."""
-    several = keys.filter("n > 1").select("key")
-    if several.isEmpty():
-        return rows.withColumn("i", F.lit(0).cast("long"))
-    several = durable(several, "shard-repeated")
-    held = durable(spread(rows, several, ["key"], "left_semi", "_row").withColumn("m", F.monotonically_increasing_id()), "shard-repeats").withColumn("p", F.shiftright("m", 33))
+def _numbered(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with the place of their key, and i, from 0, among those with the same one.
+
+    Rows of a key are numbered where they meet it. A key of over MOST_ALIKE rows is numbered by input
+    partition first, so that not even one that most rows have is put in order by one task; those
+    numbers are written before they are used."""
+    met = lambda df: df.join(places.drop("size"), "key")
+    most = places.agg(F.max("n")).first()[0] or 1
+    if most == 1:
+        return met(rows).withColumn("i", F.lit(0).cast("long"))
+    nth = lambda *part, order: (F.row_number().over(W.partitionBy(*part).orderBy(order)) - 1).cast("long")
+    if most <= MOST_ALIKE:
+        return met(rows).withColumn("i", nth("key", order="begun"))
+    hot = durable(places.filter(F.col("n") > MOST_ALIKE).select("key"), "shard-repeated")
+    held = durable(spread(rows, hot, ["key"], "left_semi", "_row").withColumn("m", F.monotonically_increasing_id()), "shard-repeats").withColumn("p", F.shiftright("m", 33))
     before = W.partitionBy("key").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     shifts = held.groupBy("key", "p").agg(F.count("*").alias("c")).select("key", "p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
-    own = F.row_number().over(W.partitionBy("key", "p").orderBy("m")) - 1
-    many = held.withColumn("own", own).join(shifts, ["key", "p"]).withColumn("i", F.col("own") + F.col("b")).select(*rows.columns, "i")
-    return spread(rows, several, ["key"], "left_anti", "_row").withColumn("i", F.lit(0).cast("long")).unionByName(many)
+    many = held.withColumn("own", nth("key", "p", order="m")).join(shifts, ["key", "p"]).withColumn("i", F.col("own") + F.col("b")).select(*rows.columns, "i")
+    few = met(spread(rows, hot, ["key"], "left_anti", "_row")).withColumn("i", nth("key", order="begun"))
+    own = durable(places.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "key", "left_semi").drop("size"), "shard-hot")
+    return few.unionByName(spread(many, own, ["key"], "inner", "i"))
 
 
 def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str = "doc_id", ranges_per_shard: int = 8, samples_per_range: int = 32, columns: list[str] | None = None) -> DataFrame:
@@ -128,8 +136,7 @@ def assign_shards(df: DataFrame, n_shards: int = 40, text: str = "text", doc_id:
     i = F.expr(f"greatest(0L, (2L * {total} * s - {n_shards}L * (2 * begun + size) + 2L * size * {n_shards} - 1) div (2L * size * {n_shards}))")
     starts = durable(held.groupBy("s").agg(F.min(F.col("place") + i).alias("p0")), "shard-starts")
 
-    out = _numbered(rows, keys).join(places.drop("size", "n"), "key")
-    out = out.withColumn("shard", shard("begun + i * size")).join(F.broadcast(starts), F.col("shard") == F.col("s"))  # n_shards rows
+    out = _numbered(rows, places).withColumn("shard", shard("begun + i * size")).join(F.broadcast(starts), F.col("shard") == F.col("s"))  # n_shards rows
     return out.select(
         *unpacked(keep), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("place") + F.col("i") - F.col("p0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -121,7 +121,7 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
     of = found.select(*[F.col(c).alias(f"next_{c}") for c in PLACE], F.col("fp").alias("next_fp")).distinct()
     out = found.join(of, [f"next_{c}" for c in PLACE])
 
-    index = durable(found.groupBy("fp").agg(F.sum("n").alias("n")), "fingerprint-index")
+    index = found.groupBy("fp").agg(F.sum("n").alias("n"))
     asked = ~F.col("none") & (F.col("at") % query_step == 0)
     near = within_radius(index, found.filter(asked).select("fp").distinct()).groupBy("query").agg((F.sum("n") - 1).alias("near"))
     out = spread(out, durable(near.withColumnRenamed("query", "fp"), "fingerprints-near"), ["fp"], "left", "at")

@@ -558,6 +558,16 @@ def test_shards_split_hot_copies(spark):
         assert (r.lo, r.hi, r.d) == (0, r.n - 1, r.n)
 
 
+@pytest.mark.parametrize("alike", [10_000, 5])
+def test_rows_alike_take_consecutive_places(spark, monkeypatch, alike):
+    monkeypatch.setattr(sharding, "MOST_ALIKE", alike)
+    rows = [(7, "again and again")] * 300 + [(i, f"text {i}") for i in range(100)] * 2 + [(None, None)] * 9
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), n_shards=8).collect()
+    want = plain.sharded(rows, 8)
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.size, r.shard, r.slot) for r in got), key=key) == sorted(((i, *rest) for i, _, *rest in want), key=key)
+
+
 def test_overfull_ranges_are_cut_until_none_is_left(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_KEYS", 40)
     rows = [(i, f"text {i} " * (400 if i % 97 == 0 else 1)) for i in range(2000)] + [(5000, "x" * 300_000)]
