@@ -94,3 +94,18 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted((str(i), t) for i, t, _ in got if t) == sorted([("5", same), ("None", tail), ("9", "only here"), ("9", "and there")])
     assert sum(i == 1 for i, *_ in got) == 1 and sum(i is None and not t for i, t, _ in got) == 2
     assert sorted(tuple(map(str, r)) for r in neardup.keep_one(df).collect()) == sorted(tuple(map(str, r)) for r in got)
+
+
+def test_partners_too_large_to_broadcast_are_met_by_salted_keys(spark, odd, benchmark, field, labels, monkeypatch):
+    from sievework.llm import common
+
+    every = runs(field, benchmark, labels) | {"one of a group": neardup.keep_one}
+    names = ("op3", "op5", "op8", "op10", "one of a group")
+    shown = lambda df: sorted(str(r) for r in df.collect())
+    want = {n: shown(every[n](odd)) for n in names}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    monkeypatch.setattr(sharding, "MOST_ALIKE", 1)
+    for n in names:
+        assert shown(every[n](odd)) == want[n]
