@@ -31,6 +31,8 @@ def shuffled_rank(df: DataFrame, part: list[str], order: Column, ties: list[str]
 #: How far around a quantile its exact value is sought, in shares of the rows; and the number of rows
 #: from which that is many times the error of the approximate quantiles. Fewer rows are all ordered.
 BRACKET, ENOUGH = 1e-3, 20_000
+#: Of approximate quantiles: their error is one part in so many of the rows, a fifth of the bracket.
+ACCURACY = 5_000
 
 
 #: Groups whose brackets are broadcast at most.
@@ -47,7 +49,7 @@ def column_quantiles(df: DataFrame, columns: list[str], at: dict[str, float]) ->
     rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(value.values())])
     edges = F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for q in at.values() for d in (-BRACKET, BRACKET)])
     # one row, of a few numbers a column
-    first = rows.agg(*[f(f"v{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max), ("e", lambda c: F.percentile_approx(c, edges, F.lit(20_000))))]).first()
+    first = rows.agg(*[f(f"v{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max), ("e", lambda c: F.percentile_approx(c, edges, F.lit(ACCURACY))))]).first()
     out: dict[str, dict[str, float | None]] = {c: {"n": first[f"n{i}"], "mean": first[f"mean{i}"], "sd": first[f"sd{i}"], **dict.fromkeys(at)} for i, c in enumerate(columns)}
     bracket = {}
     for i in range(len(columns)):
@@ -82,7 +84,7 @@ def quantiles(df: DataFrame, part: list[str], value: str, at: dict[str, float])
     some BRACKET of all, are ordered."""
     rows = df.select(*part, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     edges = [min(max(q + d, 0.0), 1.0) for q in at.values() for d in (-BRACKET, BRACKET)]
-    rough = rows.groupBy(*part).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), F.lit(20_000)).alias("_e"))
+    rough = rows.groupBy(*part).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("_e"))
     # the ends of the range stand in for a bracket that touches them
     spec = F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("pos"), F.when((F.col("_n") < ENOUGH) | F.lit(q <= 2 * BRACKET), F.col("_min")).otherwise(F.col("_e")[2 * k]).alias("lo"), F.when((F.col("_n") < ENOUGH) | F.lit(q >= 1 - 2 * BRACKET), F.col("_max")).otherwise(F.col("_e")[2 * k + 1]).alias("hi"))
