@@ -95,6 +95,20 @@ def spread(rows: DataFrame, few: DataFrame, on: list[str], how: str, by: str) ->
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+#: Words of 64 bits in a bitmap of keys, each one row of a broadcast.
+BITMAP_WORDS = 1 << 19
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows with _hit, which is true where keys has the row's key, and for a few rows more (a
+    sixteenth at two million keys). Rows stay where they are: a bitmap of the keys' hashes is broadcast."""
+    slot = F.pmod(F.xxhash64(on), F.lit(64 * BITMAP_WORDS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(durable(words, "bitmap")), "_word", "left")
+    return met.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def carried(df: DataFrame, outputs: list[str]) -> list[str]:
     """The input columns that an operator passes on: all that have no output's name, which the
     output replaces."""

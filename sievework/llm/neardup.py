@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, packed, small_batches, spread, table, unpacked
+from .common import durable, marked, packed, small_batches, spread, table, unpacked
 from .textnum import Words, mix, runs, slices
 
 SHINGLE = 5
@@ -34,8 +34,6 @@ PERCENT = 75
 HALVES, PER_HALF = 12, 2
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Slots of the table by which rare shingles are told from common ones.
-SLOTS = 1 << 20
 #: Documents in a block of a family.
 BLOCK = 256
 #: Partners of one pivot that share a task.
@@ -105,9 +103,12 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with one of the ids, which are broadcast if they are few."""
+    """The texts with one of the ids. Texts stay where they are: ids are broadcast if they are few;
+    beyond that a bitmap of them is, and some texts without one of the ids come along."""
     ids = durable(ids.distinct(), "near-ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    if ids.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(ids), "id", "left_semi")
+    return marked(texts, ids, "id").filter("_hit").drop("_hit")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -186,43 +187,30 @@ def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def _families(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(id, comp) -> id, family: documents that a chain of rare shingles holds together.
+def _families(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, comp, set) -> id, family: documents that a chain of rare shingles holds together.
 
     In any order of all shingles, two sets that are alike enough share one among the first
-    n - ceil(n * percent / 100) + 1 of each. Here rare ones come first, by counts in a table of SLOTS
-    slots, so documents that share nothing but common passages do not meet."""
-    own = _of_ids(texts, rest.select("id"))
+    n - ceil(n * percent / 100) + 1 of each. Here those that one component alone has come first, then
+    rare ones, by exact counts: counts in a table of fixed size are noise in a large corpus, and chains
+    of middling shingles then tie most documents into one family. A shingle of one component
+    links nothing, so what is left of a document is its first few shared ones, if any."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, body, offsets in slices(batch.column(1)):
-                for s in _distinct_shingles(body, offsets, shingle):
-                    total[(s % np.uint64(SLOTS)).astype(np.int64)] += 1
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["slot", "n"])
-
-    # SLOTS rows at most
-    counts = own.mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SLOTS, np.int64)
-    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    sent = rest.sparkSession.sparkContext.broadcast(table)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, body, offsets in slices(batch.column(1)):
-                sets = _distinct_shingles(body, offsets, shingle)
-                picked = []
-                for s in sets:
-                    rare = np.lexsort((s, sent.value[(s % np.uint64(SLOTS)).astype(np.int64)]))
-                    picked.append(s[rare[: len(s) + (-percent * len(s) // 100) + 1]].view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([len(s) for s in sets], pa.int64()), pa.array(picked, pa.list_(pa.int64()))], ["id", "n", "first"])
-
-    each = own.mapInArrow(prefix, "id long, n long, first array<long>").join(rest, "id").select("id", "n", "comp", F.posexplode("first").alias("at", "s"))
-    each = durable(each, "near-prefixes")
-    shared = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("a")).filter("lo <> hi").select("s", "a")
-    found = components(each.join(shared, "s").select("a", F.col("id").alias("b")).distinct())
+            held = [_unpack(blob.as_py()).view(np.int64) for blob in batch.column(2)]
+            size = np.array([len(s) for s in held], np.int64)
+            at = pa.array(np.repeat(np.arange(len(held)), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(size, size)), pa.array(np.concatenate(held))], ["id", "comp", "n", "s"])
+
+    rows = sets.select("id", "comp", "set").mapInArrow(each, "id long, comp long, n long, s long")
+    shared = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s", "df")
+    own = W.partitionBy("id", "n")
+    placed = rows.join(shared, "s").select("id", "comp", "n", "s", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("df", "s")).alias("place"))
+    first = placed.filter(f"place <= shared + 1 - ({percent} * n + 99) div 100").select("id", "comp", "s")
+    first = durable(first, "near-prefixes")
+    chained = first.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("a")).filter("lo <> hi").select("s", "a")
+    found = components(first.join(chained, "s").select("a", F.col("id").alias("b")).distinct())
     return found.select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
@@ -271,7 +259,9 @@ def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
     A family is cut into blocks of about BLOCK documents, a large component's apart from the others';
     every two blocks meet in one group, but those of one component do not. Only links leave it."""
-    member = durable(_families(rest, texts, shingle, percent).join(rest, "id"), "near-families")
+    comps = F.broadcast(rest) if rest.count() <= BROADCAST_IDS else rest
+    sets = durable(_sets(_of_ids(texts, rest.select("id")), shingle).join(comps, "id"), "near-sets")
+    member = durable(_families(sets, percent).join(rest, "id"), "near-families")
     sized = member.groupBy("family", "comp").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") >= BLOCK, F.col("comp")))
     parts = sized.groupBy("family", F.coalesce("large", F.lit(-1).cast("long")).alias("part")).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     before = W.partitionBy("family").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -283,8 +273,7 @@ def _family_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
     other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda k: (F.col("part") == -1) | (k < F.col("begin")) | (k >= F.col("begin") + F.col("blocks")))
     met = placed.select("family", "id", "comp", "block", F.explode(other).alias("k"))
     met = met.select("family", "id", "comp", F.col("block").alias("side"), F.least("block", "k").alias("lo"), F.greatest("block", "k").alias("hi"))
-    sets = durable(_sets(_of_ids(texts, member.select("id")), shingle), "near-sets")
-    groups = met.join(sets, "id").select("family", "lo", "hi", "id", "comp", "side", "set").groupBy("family", "lo", "hi")
+    groups = met.join(sets.select("id", "set"), "id").select("family", "lo", "hi", "id", "comp", "side", "set").groupBy("family", "lo", "hi")
     return durable(groups.applyInArrow(lambda g: _linked(g, percent), "a long, b long").distinct(), "near-links")
 
 

@@ -138,6 +138,27 @@ def test_near_duplicates_in_large_families(spark):
     assert got == {i: root(i) for i in ids} and len(set(got.values())) > 100
 
 
+def test_chains_of_middling_shingles_make_no_family(spark, monkeypatch):
+    """Neighbours share a fifth of their shingles, among nearly two million others."""
+    rng = random.Random(5)
+    parts = [[f"{rng.getrandbits(40):x}" for _ in range(600)] for _ in range(601)]
+    rows = [(i, " ".join(parts[i] + [f"{rng.getrandbits(40):x}" for _ in range(1800)] + parts[i + 1])) for i in range(600)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    made, durable = {}, neardup.durable
+    monkeypatch.setattr(neardup, "durable", lambda df, name: made.setdefault(name, durable(df, name)))
+    rest = durable(texts.select("id", F.col("id").alias("comp")), "rest")
+    assert neardup._family_links(rest, texts, 5, 75).isEmpty() and made["near-families"].isEmpty()
+
+
+def test_texts_stay_where_they_are_if_ids_are_many(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "id long, text string")
+    ids = texts.filter("id % 10 = 0").select("id")
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 10)
+    met = neardup._of_ids(texts, ids)
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().toString()
+    assert {r.id for r in ids.collect()} <= {r.id for r in met.collect()} and met.count() < 250
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 40)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
