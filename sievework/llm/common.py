@@ -109,6 +109,15 @@ def marked(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return met.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
+def without(rows: DataFrame, gone: DataFrame, on: str, by: str) -> DataFrame:
+    """Rows whose key gone, a written table of different keys, does not have. Beyond BROADCAST_ROWS keys only
+    rows that a bitmap marks are dealt out; all others stay where they are."""
+    if gone.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), on, "left_anti")
+    told = marked(rows, gone, on)
+    return told.filter("not _hit").drop("_hit").unionByName(spread(told.filter("_hit").drop("_hit"), gone, [on], "left_anti", by))
+
+
 def carried(df: DataFrame, outputs: list[str]) -> list[str]:
     """The input columns that an operator passes on: all that have no output's name, which the
     output replaces."""

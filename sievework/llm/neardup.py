@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, marked, packed, small_batches, spread, table, unpacked
+from .common import durable, marked, packed, small_batches, spread, table, unpacked, without
 from .textnum import Words, mix, runs, slices
 
 SHINGLE = 5
@@ -324,7 +324,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
     rows = rows.withColumn("sid", F.when(F.col("id").isNull() | F.col("unlike"), own_name).otherwise(F.col("id")))
     near = near_duplicates(rows.select("sid", "text"), "text", "sid", **options)
     gone = durable(near.filter("not kept").select(F.col("doc_id").alias("sid")).distinct(), "near-gone")
-    rows = spread(rows, gone, ["sid"], "left_anti", "digest")
+    rows = without(rows, gone, "sid", "digest")
     if not repeats and not nameless:
         return rows.select(*unpacked(df.columns))
     several = F.col("unlike").isNotNull() | (F.col("id").isNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -20,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, licenses, lm, mixing, neardup, pii, secrets, sharding, simhash, textnum, toxicity
+from sievework.llm import common, decontamination, licenses, lm, mixing, neardup, pii, secrets, sharding, simhash, textnum, toxicity
 from sievework.llm.common import UPPER
 
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -159,6 +159,16 @@ def test_texts_stay_where_they_are_if_ids_are_many(spark, monkeypatch):
     assert {r.id for r in ids.collect()} <= {r.id for r in met.collect()} and met.count() < 250
 
 
+def test_only_marked_rows_are_dealt_out_if_many_keys_are_gone(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "sid long, digest string")
+    gone = neardup.durable(rows.filter("sid % 10 = 0").select("sid"), "gone")
+    dealt, spread = [], common.spread
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "spread", lambda rows, *a: dealt.append(rows) or spread(rows, *a))
+    assert sorted(r.sid for r in common.without(rows, gone, "sid", "digest").collect()) == [i for i in range(2000) if i % 10]
+    assert 200 <= dealt[0].count() < 250
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 40)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
