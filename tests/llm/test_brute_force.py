@@ -154,8 +154,13 @@ def test_texts_stay_where_they_are_if_ids_are_many(spark, monkeypatch):
     texts = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "id long, text string")
     ids = texts.filter("id % 10 = 0").select("id")
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 10)
-    met = neardup._of_ids(texts, ids)
-    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = neardup._of_ids(texts, ids)
+        assert "Exchange hashpartitioning" not in met._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {r.id for r in ids.collect()} <= {r.id for r in met.collect()} and met.count() < 250
 
 
