@@ -150,6 +150,16 @@ def test_ablation_report(spark):
     assert (r.best_single_family, r.best_mean, r.combined_not_lower) == ("color", 0.5, False)
 
 
+def test_ablation_fits_from_written_rows(spark, monkeypatch):
+    table = blobs(spark, 16, "ABC").drop("hsv_y", "edge_z").withColumn("augment", F.explode(F.array(*map(F.lit, TRANSFORMS[:2])))).cache()
+    plans, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, df, *a: plans.append(df._jdf.queryExecution().analyzed().toString()) or fit(self, df, *a))
+    combined = spark.createDataFrame([("random_forest", k, 0.1) for k in range(2)], "model string, fold int, macro_f1 double")
+    report = training.ablation(table, combined, Settings(n_splits=2, inner_n_splits=2), ("random_forest",), 1, learning.SMALL)[1].first()
+    assert report.best_single_family == "texture" and report.best_mean > 0.9 and not report.combined_not_lower
+    assert len(plans) == 6 and not [p for p in plans if "Window" in p or "Join" in p or "Generate" in p]
+
+
 def brute_shapley(tree, x):
     """By all orders, with subtrees averaged by cover where a feature is not known."""
     from itertools import permutations
