@@ -160,6 +160,25 @@ def test_ablation_fits_from_written_rows(spark, monkeypatch):
     assert len(plans) == 6 and not [p for p in plans if "Window" in p or "Join" in p or "Generate" in p]
 
 
+def test_families_share_folds_and_score_as_alone(spark, monkeypatch):
+    """Every family made the same folds again, outer and inner."""
+    table = blobs(spark, 16, "ABC", spread=4.0).withColumn("augment", F.explode(F.array(*map(F.lit, TRANSFORMS[:2])))).cache()
+    s, names = Settings(n_splits=2, inner_n_splits=2), ("logistic_regression",)
+    space = {names[0]: {"C": Range(0.1, 10.0, True), "l1_ratio": (0.0,)}}
+    alone = {(c, r.fold): r.macro_f1 for c in ("glcm_x", "hsv_y", None) for r in training.cross_validate(table.select("id", "batch_id", "class", "augment", *([c] if c else COLUMNS)), s, names, 1, space).scores.collect()}
+    made, folds = [], training.with_folds
+    monkeypatch.setattr(training, "with_folds", lambda *a, **k: made.append(1) or folds(*a, **k))
+    combined = spark.createDataFrame([(names[0], k, 0.1) for k in range(2)], "model string, fold int, macro_f1 double")
+    given = {(r.features, r.fold): r.macro_f1 for r in training.ablation(table, combined, s, names, 1, space)[0].collect()}
+    assert len(made) == 3  # the outer folds, and the inner ones of each
+    own = {(r.features, r.fold): r.macro_f1 for r in training.ablation(table, None, s, names, 1, space)[0].collect()}
+    assert len(made) == 6 and len(own) == len(given) == 8
+    for k in range(2):
+        assert given["combined", k] == 0.1 and own["combined", k] == alone[None, k]
+        for family, c in (("texture", "glcm_x"), ("color", "hsv_y")):
+            assert given[family, k] == own[family, k] == alone[c, k]
+
+
 def brute_shapley(tree, x):
     """By all orders, with subtrees averaged by cover where a feature is not known."""
     from itertools import permutations
