@@ -221,6 +221,13 @@ def test_ablation_is_the_published_job(spark, small, monkeypatch):
     assert sorted(r.model for r in rows) == sorted(MODELS) and counts == copied(spark, small)
 
 
+def test_nested_cv_is_the_published_job(spark, small, monkeypatch):
+    """It had two folds, two trials, two small models and one copy a photo at most."""
+    rows, fits, counts = whole_job(spark, small, monkeypatch, "nested_cv")
+    assert fits == {(f"{models.VECTOR}_0", m, n, k): 375 if n == 3 else 1 for m in MODELS for n in (3, 5) for k in range(n)}
+    assert sorted((r.model, r.fold) for r in rows) == [(m, k) for m in sorted(MODELS) for k in range(5)] and counts == copied(spark, small)
+
+
 def brute_shapley(tree, x):
     """By all orders, with subtrees averaged by cover where a feature is not known."""
     from itertools import permutations
